@@ -281,6 +281,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, k: int = 3, percent: int = 90, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` (doc_id, text, any other columns, which stay) with one row of each component: that of its least doc_id.
+
+    doc_id names a document: rows that repeat id and text count as one. Rows with a null id stay, as do texts without
+    words.
+    """
+    found = materialise(jaccard_components(docs, k=k, percent=percent))
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone__")).distinct())
+    left = docs.join(bounded_broadcast(gone, broadcast_rows), F.col("doc_id") == F.col("gone__"), "left_anti")
+    again = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again__")).count().where("count > 1").select("again__"))
+    if again.isEmpty():
+        return left
+    on = F.col("doc_id") == F.col("again__")
+    again = bounded_broadcast(again, broadcast_rows)
+    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's join over the whole ``documents`` table: 3-word shingles, 90 %."""
     return jaccard_components(table(spark, sf_dir, "documents"))
