@@ -30,50 +30,62 @@ N_FEATURES = 7
 class KneserNey:
     """P(event | context, class) = discounted class count + freed mass * shared backoff, down to uniform.
 
-    The highest order has counts of each class, all lower orders the shared continuation counts."""
+    A gram is a string, its last character the event. The highest order has counts of each class, all lower orders the
+    shared continuation counts."""
 
     def __init__(self, grams: list[Counter], order: int):
-        """grams: by class, counts of (context, event) with contexts of any length up to order - 1."""
+        """grams: by class, counts of grams of at most ``order`` characters."""
         self.order = order
         self.top = [(dict(g), *self._context(g)) for g in grams]
-        lower: list[Counter] = [Counter() for _ in range(order - 1)]
+        self.lower: list[tuple] = [()] * (order - 1)
         seen = {k for g in grams for k in g}
-        for n in range(order - 2, -1, -1):  # distinct left extensions of (context of n, event)
-            for ctx, event in seen:
-                if len(ctx) > n:
-                    lower[n][ctx[len(ctx) - n :], event] += 1
-            seen = set(lower[n])
-        self.lower = [(dict(c), *self._context(c)) for c in lower]
-        self.floor = 1.0 / (len({e for g in grams for _, e in g}) + 1)
+        for n in range(order - 1, 0, -1):  # distinct left extensions of each gram of n
+            c = Counter(k[len(k) - n :] for k in seen if len(k) > n)
+            self.lower[n - 1] = (dict(c), *self._context(c))
+            seen = set(c)
+        self.floor = 1.0 / (len({k[-1] for g in grams for k in g}) + 1)
         self.cache: dict = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
+
     @staticmethod
     def _context(g: Counter) -> tuple[dict, dict]:
         total, kinds = Counter(), Counter()
-        for (ctx, _), n in g.items():
-            total[ctx] += n
-            kinds[ctx] += 1
+        for k, n in g.items():
+            total[k[:-1]] += n
+            kinds[k[:-1]] += 1
         return dict(total), dict(kinds)
 
-    def _shared(self, ctx, event) -> float:
+    def _shared(self, gram: str) -> float:
         p = self.floor
-        for n in range(min(len(ctx), self.order - 2) + 1):
-            counts, total, kinds = self.lower[n]
-            c = ctx[len(ctx) - n :]
-            if c in total:
-                p = max(counts.get((c, event), 0) - DISCOUNT, 0) / total[c] + DISCOUNT * kinds[c] / total[c] * p
+        for n in range(1, min(len(gram), self.order - 1) + 1):
+            counts, total, kinds = self.lower[n - 1]
+            g = gram[len(gram) - n :]
+            of = total.get(g[:-1])
+            if of:
+                p = max(counts.get(g, 0) - DISCOUNT, 0) / of + DISCOUNT * kinds[g[:-1]] / of * p
         return p
 
-    def ratio(self, ctx, event) -> float:
-        """log P(event | ctx, class 1) - log P(event | ctx, class 0)."""
-        if (ctx, event) in self.cache:
-            return self.cache[ctx, event]
-        low, p = self._shared(ctx, event), []
+    def ratio(self, gram: str) -> float:
+        """log P(event | context, class 1) - log P(event | context, class 0)."""
+        low, ctx, p = self._shared(gram), gram[:-1], []
         for counts, total, kinds in self.top:
-            p.append(max(counts.get((ctx, event), 0) - DISCOUNT, 0) / total[ctx] + DISCOUNT * kinds[ctx] / total[ctx] * low if ctx in total else low)
-        out = math.log(p[1]) - math.log(p[0])
-        if len(self.cache) < 500_000:
-            self.cache[ctx, event] = out
+            of = total.get(ctx)
+            p.append(max(counts.get(gram, 0) - DISCOUNT, 0) / of + DISCOUNT * kinds[ctx] / of * low if of else low)
+        return math.log(p[1]) - math.log(p[0])
+
+    def sum(self, chars: str) -> float:
+        """The ratios of all characters of ``chars`` but the first, added up."""
+        cache, n, out = self.cache, self.order, 0.0
+        for i in range(1, len(chars)):
+            gram = chars[i - n + 1 : i + 1] if i >= n else chars[: i + 1]
+            r = cache.get(gram)
+            if r is None:
+                r = self.ratio(gram)
+                if len(cache) < 600_000:
+                    cache[gram] = r
+            out += r
         return out
 
 
@@ -81,10 +93,10 @@ def expression(word: str) -> str:
     return word.strip(_EDGE)
 
 
-def _spelled(word: str) -> Iterator[tuple[str, str]]:
-    chars = "^" + word + "$"
+def _spelled(word: str) -> Iterator[str]:
+    chars = f"^{word}$"
     for i in range(1, len(chars)):
-        yield chars[max(0, i - ORDER + 1) : i], chars[i]
+        yield chars[max(0, i - ORDER + 1) : i + 1]
 
 
 class Ratios:
@@ -113,12 +125,18 @@ class Ratios:
             p = [max(counts[c][w] - DISCOUNT, 0) / n[c] + freed[c] * low for c in (0, 1)]
             self.words[w] = math.log(p[1] / p[0])
         self.chars = KneserNey(chars, ORDER)
+        self.known: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def of(self, word: str) -> tuple[float, float]:
-        w = expression(word)
-        if not w:
-            return 0.0, 0.0
-        return self.words.get(w, 0.0), sum(self.chars.ratio(c, x) for c, x in _spelled(w))
+        if (got := self.known.get(word)) is None:
+            w = expression(word)
+            got = (self.words.get(w, 0.0), self.chars.sum(f"^{w}$")) if w else (0.0, 0.0)
+            if len(self.known) < 300_000:
+                self.known[word] = got
+        return got
 
 
 def features(word_ratio: np.ndarray, char_ratio: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -169,17 +187,13 @@ class Model:
         self.w = logistic(np.array(xs), np.array(ys, float))
         self.ratios = Ratios(texts)
 
-    def scores(self, w: Words, known: dict) -> np.ndarray:
+    def scores(self, w: Words) -> np.ndarray:
         if self.ratios is None:
             return np.full(len(w.starts) - 1, self.rate)
         vocab = w.vocab.to_pylist()
         r = np.empty((len(vocab), 2))
         for i, word in enumerate(vocab):
-            if (got := known.get(word)) is None:
-                got = self.ratios.of(word)
-                if len(known) < 300_000:
-                    known[word] = got
-            r[i] = got
+            r[i] = self.ratios.of(word)
         r = r[w.ids]
         x = features(r[:, 0], r[:, 1], w.starts)
         return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -35, 35)))
@@ -215,9 +229,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), of) == out).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for b in batches:
-            s = shared.value.scores(Words(b.column(1)), known)
+            s = shared.value.scores(Words(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, _OUT)
@@ -228,9 +241,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7)
     shared, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for b in batches:
-            yield b.filter(pa.array(shared.value.scores(Words(b.column(at)), known) < threshold))
+            yield b.filter(pa.array(shared.value.scores(Words(b.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
