@@ -90,6 +90,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes of a text column, so that a task's memory follows that."""
+    for b in batches:
+        rows = max(1, b.num_rows // max(1, -(-b.column(column).nbytes // most)))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """Stable 64-bit hashes of an Arrow string array."""
     if not len(words):

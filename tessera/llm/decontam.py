@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, mix, table
+from tessera.llm.common import Words, mix, slices, table
 
 MASKS = ("1111", "11011", "110101", "1010011", "1001101", "11001001")
 #: Words of items broadcast at once (8 bytes a word, 12 a seed and mask: about 40 MB).
@@ -130,7 +130,7 @@ _OUT = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, item_
 
 def _find(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             w, ids = Words(b.column(1)), b.column(0).to_pylist()
             rows = [(ids[t], item, i, j, at, n, n / (j - i)) for t, item, i, j, at, n in _overlaps(w.hashes(), w.starts, shared.value, percent)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         shared = sc.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, at):
                 w = Words(b.column(at))
                 keep = np.ones(b.num_rows, bool)
                 for found in _overlaps(w.hashes(), w.starts, shared.value, percent):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, partitions, table
+from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, partitions, slices, table
 from tessera.llm.components import components
 
 #: Parts that may be empty on both sides before agreement could rest on empty parts alone.
@@ -114,7 +114,7 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()
 def _fingerprints(percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Plan(percent), set()
-        for b in batches:
+        for b in slices(batches, 1):
             w = Words(b.column(1))
             h = w.hashes()
             out: dict = {c: [] for c in _ROWS.names}
@@ -161,7 +161,7 @@ def _stars(light: bool, percent: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             w = Words(b.column(0))
             h = w.hashes()
             want, comp, blocks = (b.column(i).to_pylist() for i in (1, 2, 3))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, crc, materialise, mix, partitions, table
+from tessera.llm.common import Words, crc, materialise, mix, partitions, slices, table
 
 GROUP_TOKENS = 1_000_000
 #: Context-frequency buckets: 0 for none, else 1 + floor(log2(count)).
@@ -115,7 +115,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], of: int, out: int, em_of: int) -
         return Group([i for i, _, _ in got], np.array([t for _, t, _ in got]), np.concatenate([h for _, _, h in got]), lens)
 
     size = {True: 0, False: 0}
-    for b in batches:
+    for b in slices(batches, 1):
         w = Words(b.column(1))
         h = w.hashes()
         for i, doc in enumerate(b.column(0).to_pylist()):

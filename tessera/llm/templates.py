@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, materialise, mix, table
+from tessera.llm.common import Words, materialise, mix, slices, table
 
 FIELD = "<*>"
 DEPTH, MAX_CHILDREN, KEEP = 3, 8, 0.6
@@ -72,7 +72,7 @@ def _lines(depth: int, min_tokens: int, with_text: bool):
     names = ["doc", "core", "leaf", "line", *["masked"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             core = _cores(b.column(1))
             known: dict[str, tuple[int, int]] = {}
@@ -116,7 +116,7 @@ def _rewrite(at: int, shared, listed: int | None, dropped: list | None):
     """Batches with recurring lines left out of column ``at``; a text of which nothing is left is a dropped row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             lists = b.column(listed).to_pylist() if listed is not None else None
             out, keep = [], []
             for i, text in enumerate(b.column(at).to_pylist()):

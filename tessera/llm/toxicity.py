@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, fold, table
+from tessera.llm.common import Words, fold, slices, table
 
 #: The models learn from at most so many labelled texts of each class, those of least xxhash64(doc_id).
 SAMPLE = 1500
@@ -83,7 +83,7 @@ class KneserNey:
             r = cache.get(gram)
             if r is None:
                 r = self.ratio(gram)
-                if len(cache) < 600_000:
+                if len(cache) < 400_000:
                     cache[gram] = r
             out += r
         return out
@@ -134,7 +134,7 @@ class Ratios:
         if (got := self.known.get(word)) is None:
             w = expression(word)
             got = (self.words.get(w, 0.0), self.chars.sum(f"^{w}$")) if w else (0.0, 0.0)
-            if len(self.known) < 300_000:
+            if len(self.known) < 150_000:
                 self.known[word] = got
         return got
 
@@ -229,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), of) == out).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             s = shared.value.scores(Words(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -241,7 +241,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7)
     shared, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             yield b.filter(pa.array(shared.value.scores(Words(b.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
