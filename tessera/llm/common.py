@@ -110,6 +110,8 @@ class Words:
 
     def __init__(self, texts, lower: bool = True):
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        if texts.offset:  # string kernels misread some sliced arrays
+            texts = texts.take(pa.array(np.arange(len(texts))))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if lower:
             texts = pc.ascii_lower(texts)
