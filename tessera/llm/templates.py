@@ -28,14 +28,16 @@ DEPTH, MAX_CHILDREN, KEEP = 3, 8, 0.6
 MIN_DOCS, MIN_TOKENS, OWN_CORES = 10, 2, 0.5
 #: Dropped lines' hashes broadcast at most (8 bytes each); beyond it each document gets its own list by a join.
 BROADCAST = 2_000_000
-_DIGIT, _VARIABLE = re.compile(r"[0-9]"), re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_SPACE, _ODD = re.compile(r"[\x20\x09-\x0D]+"), ("  ", "\t", "\r", "\x0b", "\x0c")
 
 
 def masked(line: str) -> str:
     """The line's tokens by single spaces, those with a digit as FIELD."""
-    line = _SPACE.sub(" ", line).strip(" ")
-    return _VARIABLE.sub(FIELD, line) if _DIGIT.search(line) else line
+    if any(c in line for c in _ODD):
+        line = _SPACE.sub(" ", line)
+    line = line.strip(" ")
+    return _VARIABLE.sub(FIELD, line) if any(c in line for c in "0123456789") else line
 
 
 def _signed(x: int) -> int:
@@ -74,7 +76,7 @@ def _lines(depth: int, min_tokens: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            core = _cores(b.column(1))
+            core = np.zeros(len(texts), np.int64) if with_text else _cores(b.column(1))
             known: dict[str, tuple[int, int]] = {}
             rows = []
             for doc, text, c in zip(b.column(0).to_pylist(), texts, core.tolist(), strict=True):
