@@ -34,7 +34,8 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     b64 = F.base64(F.unhex(digest))
     random = n.select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(b64, 1, 40), F.upper(F.substring(F.regexp_replace(b64, "[+/=]", ""), 1, 20)))).alias("text"), F.lit(1).alias("label"))
-    some = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # as many rows as the limit
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = some.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))).alias("text"), F.lit(0).alias("label"))
     return random.union(words)
