@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -96,6 +98,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
         rows = max(1, b.num_rows // max(1, -(-b.column(column).nbytes // most)))
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task and would sit on it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, crc, materialise, mix, partitions, slices, table
+from tessera.llm.common import Words, crc, materialise, mix, partitions, release, slices, table
 
 GROUP_TOKENS = 1_000_000
 #: Context-frequency buckets: 0 for none, else 1 + floor(log2(count)).
@@ -130,6 +130,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], of: int, out: int, em_of: int) -
     for em in open_:
         if open_[em]:
             yield em, close(em)
+    release()
 
 
 def _ranges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Words, fold, slices, table
 
 #: The models learn from at most so many labelled texts of each class, those of least xxhash64(doc_id).
-SAMPLE = 1500
+SAMPLE = 800
 DISCOUNT, ORDER, STRONG = 0.75, 6, 2.0
 _EDGE = ".,;:!?\"'()[]{}*%$&#-_|"
 N_FEATURES = 7
@@ -83,7 +83,7 @@ class KneserNey:
             r = cache.get(gram)
             if r is None:
                 r = self.ratio(gram)
-                if len(cache) < 400_000:
+                if len(cache) < 200_000:
                     cache[gram] = r
             out += r
         return out
@@ -100,30 +100,30 @@ def _spelled(word: str) -> Iterator[str]:
 
 
 class Ratios:
-    """Log-likelihood ratios of expressions by the two models, from training texts (lists of words) of both classes."""
+    """Log-likelihood ratios of expressions by the two models, from training texts of both classes, each an array of
+    places in ``expressions``."""
 
-    def __init__(self, texts: list[list[list[str]]]):
-        counts, chars, left = [], [], []
+    def __init__(self, texts: list[list[np.ndarray]], expressions: list[str]):
+        v = len(expressions)
+        counts, pairs, chars = [], [], []
         for of in texts:
-            words, before, spelled = Counter(), set(), Counter()
-            for t in of:
-                t = [expression(w) for w in t]
-                words.update(w for w in t if w)
-                before.update(zip(["^", *t[:-1]], t, strict=True))
-            for w, n in words.items():
-                for x in _spelled(w):
-                    spelled[x] += n
-            counts.append(words)
-            left.append(before)
+            flat = np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64)
+            before = np.concatenate([*(np.append(v, x[:-1]) if len(x) else x for x in of), np.empty(0, np.int64)]).astype(np.int64)
+            counts.append(np.bincount(flat, minlength=v))
+            pairs.append(np.unique(before * v + flat))
+            spelled = Counter()
+            for w in np.flatnonzero(counts[-1]).tolist():
+                if expressions[w]:
+                    n = int(counts[-1][w])
+                    for x in _spelled(expressions[w]):
+                        spelled[x] += n
             chars.append(spelled)
-        shared = Counter(w for _, w in left[0] | left[1] if w)  # distinct words before it, over both classes
-        total, n = sum(shared.values()), [max(1, sum(c.values())) for c in counts]
-        freed = [DISCOUNT * max(1, len(c)) / k for c, k in zip(counts, n, strict=True)]
-        self.words = {}
-        for w in counts[0].keys() | counts[1].keys():
-            low = shared[w] / total
-            p = [max(counts[c][w] - DISCOUNT, 0) / n[c] + freed[c] * low for c in (0, 1)]
-            self.words[w] = math.log(p[1] / p[0])
+        shared = np.bincount(np.union1d(*pairs) % max(v, 1), minlength=v)  # distinct words before it, over both classes
+        total, n = max(1, int(shared.sum())), [max(1, int(c.sum())) for c in counts]
+        freed = [DISCOUNT * max(1, np.count_nonzero(c)) / k for c, k in zip(counts, n, strict=True)]
+        seen = np.flatnonzero(counts[0] + counts[1])
+        p = [np.maximum(counts[c][seen] - DISCOUNT, 0) / n[c] + freed[c] * shared[seen] / total for c in (0, 1)]
+        self.words = {expressions[w]: r for w, r in zip(seen.tolist(), np.log(p[1] / p[0]).tolist(), strict=True) if expressions[w]}
         self.chars = KneserNey(chars, ORDER)
         self.known: dict = {}
 
@@ -134,7 +134,7 @@ class Ratios:
         if (got := self.known.get(word)) is None:
             w = expression(word)
             got = (self.words.get(w, 0.0), self.chars.sum(f"^{w}$")) if w else (0.0, 0.0)
-            if len(self.known) < 150_000:
+            if len(self.known) < 100_000:
                 self.known[word] = got
         return got
 
@@ -170,22 +170,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 class Model:
-    def __init__(self, texts: list[list[list[str]]]):
-        """texts: word lists of the ordinary and of the toxic training texts."""
+    def __init__(self, texts: list[list[np.ndarray]], vocab: list[str]):
+        """texts: the ordinary and the toxic training texts, each an array of places in ``vocab``."""
         self.rate = (len(texts[1]) + 0.5) / (len(texts[0]) + len(texts[1]) + 1)
         self.ratios = None
         if min(map(len, texts)) < 2:
             return
+        places: dict[str, int] = {}
+        to = np.array([places.setdefault(expression(w), len(places)) for w in vocab], np.int64)
+        texts, expressions = [[to[x] for x in of] for of in texts], list(places)
         xs, ys = [], []
         for half in (0, 1):
-            r = Ratios([t[1 - half :: 2] for t in texts])
+            r = Ratios([t[1 - half :: 2] for t in texts], expressions)
             for label in (0, 1):
                 for t in texts[label][half::2]:
-                    v = np.array([r.of(w) for w in t]).reshape(-1, 2)
+                    v = np.array([r.of(expressions[w]) for w in t.tolist()]).reshape(-1, 2)
                     xs.append(features(v[:, 0], v[:, 1], np.array([0, len(t)]))[0])
                     ys.append(label)
+            del r
         self.w = logistic(np.array(xs), np.array(ys, float))
-        self.ratios = Ratios(texts)
+        self.ratios = Ratios(texts, expressions)
+
+    def forget(self) -> None:
+        """Drops what was remembered of words seen, at the end of a task."""
+        if self.ratios:
+            self.ratios.known.clear()
+            self.ratios.chars.cache.clear()
 
     def scores(self, w: Words) -> np.ndarray:
         if self.ratios is None:
@@ -207,12 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, of: int = 3
     chosen = picked[0].union(picked[1])
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows
     got = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").toPandas()
-    split: list[list[list[str]]] = [[], []]
+    split: list[list[np.ndarray]] = [[], []]
     w = Words(pa.array(got["text"], pa.string()))
-    vocab = w.vocab.to_pylist()
     for i, toxic in enumerate(got["toxic"]):
-        split[toxic].append([vocab[k] for k in w.ids[w.starts[i] : w.starts[i + 1]]])
-    return Model(split)
+        split[toxic].append(w.ids[w.starts[i] : w.starts[i + 1]])
+    return Model(split, w.vocab.to_pylist())
 
 
 _OUT = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -232,6 +241,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
         for b in slices(batches, 1):
             s = shared.value.scores(Words(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        shared.value.forget()
 
     return rows.mapInArrow(run, _OUT)
 
@@ -243,6 +253,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
             yield b.filter(pa.array(shared.value.scores(Words(b.column(at))) < threshold))
+        shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
