@@ -62,10 +62,18 @@ def bounds(a: Tile, b: Tile) -> tuple[np.ndarray, np.ndarray]:
     return got, a.err[:, None] * b.size[None, :] + b.err[None, :] + 1e-6
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, added up from left to right, so that equal rows give equal bits wherever they stand."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision, on scaled copies so that no square overflows or vanishes."""
+    """In double precision; on scaled copies where squares could overflow or vanish."""
     x, y = (v / np.abs(v).max(axis=1, keepdims=True) if (np.abs(v).max() > 1e100 or np.abs(v).max(axis=1).min() < 1e-100) else v for v in (x, y))
-    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    return _dots(x, y) / (np.sqrt(_dots(x, x)) * np.sqrt(_dots(y, y)))
 
 
 def _search(shared, k: int):

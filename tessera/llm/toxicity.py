@@ -9,8 +9,6 @@ logistic curve fitted on ratios from models that had not seen those texts (two f
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,125 +16,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, fold, slices, table
+from tessera.llm.common import Words, fold, mix, slices, table, word_hashes
 
 #: The models learn from at most so many labelled texts of each class, those of least xxhash64(doc_id).
-SAMPLE = 800
+SAMPLE = 1500
 DISCOUNT, ORDER, STRONG = 0.75, 6, 2.0
 _EDGE = ".,;:!?\"'()[]{}*%$&#-_|"
 N_FEATURES = 7
 
 
+class Table:
+    """Sums by 64-bit key, in sorted arrays: small, and looked up in bulk. Keys that are absent have 0."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.keys, inv = np.unique(keys, return_inverse=True)
+        self.values = [np.bincount(inv, v, len(self.keys)) for v in values]
+
+    def get(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys)) for _ in self.values]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return [np.where(hit, v[at], 0.0) for v in self.values]
+
+
+class Spelled:
+    """The characters of words, each as ^word$: ``grams[n - 1]`` hashes the n characters that end at a place."""
+
+    def __init__(self, words: list[str]):
+        lens = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        cp = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.starts = np.cumsum(lens) - lens
+        self.owner = np.repeat(np.arange(len(words)), lens)
+        self.place = np.arange(len(cp)) - self.starts[self.owner]
+        self.grams = [mix(cp)]
+        with np.errstate(over="ignore"):
+            for n in range(2, ORDER + 1):
+                h = np.zeros_like(cp)
+                h[n - 1 :] = mix(self.grams[-1][n - 1 :] * np.uint64(0x100000001B3) ^ cp[: max(0, len(cp) - n + 1)])
+                self.grams.append(h)
+        self.events = np.flatnonzero(self.place >= 1)
+        full = np.minimum(self.place[self.events] + 1, ORDER)
+        self.top, self.context = np.empty(len(full), np.uint64), np.empty(len(full), np.uint64)
+        for n in range(2, ORDER + 1):
+            at = full == n
+            self.top[at], self.context[at] = self.grams[n - 1][self.events[at]], self.grams[n - 2][self.events[at] - 1]
+
+    def lower(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of n and their contexts at places ``at``."""
+        return self.grams[n - 1][at], self.grams[n - 2][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
+
+
 class KneserNey:
-    """P(event | context, class) = discounted class count + freed mass * shared backoff, down to uniform.
-
-    A gram is a string, its last character the event. The highest order has counts of each class, all lower orders the
-    shared continuation counts."""
-
-    def __init__(self, grams: list[Counter], order: int):
-        """grams: by class, counts of grams of at most ``order`` characters."""
-        self.order = order
-        self.top = [(dict(g), *self._context(g)) for g in grams]
-        self.lower: list[tuple] = [()] * (order - 1)
-        seen = {k for g in grams for k in g}
-        for n in range(order - 1, 0, -1):  # distinct left extensions of each gram of n
-            c = Counter(k[len(k) - n :] for k in seen if len(k) > n)
-            self.lower[n - 1] = (dict(c), *self._context(c))
-            seen = set(c)
-        self.floor = 1.0 / (len({k[-1] for g in grams for k in g}) + 1)
-        self.cache: dict = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
-
-    @staticmethod
-    def _context(g: Counter) -> tuple[dict, dict]:
-        total, kinds = Counter(), Counter()
-        for k, n in g.items():
-            total[k[:-1]] += n
-            kinds[k[:-1]] += 1
-        return dict(total), dict(kinds)
-
-    def _shared(self, gram: str) -> float:
-        p = self.floor
-        for n in range(1, min(len(gram), self.order - 1) + 1):
-            counts, total, kinds = self.lower[n - 1]
-            g = gram[len(gram) - n :]
-            of = total.get(g[:-1])
-            if of:
-                p = max(counts.get(g, 0) - DISCOUNT, 0) / of + DISCOUNT * kinds[g[:-1]] / of * p
-        return p
-
-    def ratio(self, gram: str) -> float:
-        """log P(event | context, class 1) - log P(event | context, class 0)."""
-        low, ctx, p = self._shared(gram), gram[:-1], []
-        for counts, total, kinds in self.top:
-            of = total.get(ctx)
-            p.append(max(counts.get(gram, 0) - DISCOUNT, 0) / of + DISCOUNT * kinds[ctx] / of * low if of else low)
-        return math.log(p[1]) - math.log(p[0])
-
-    def sum(self, chars: str) -> float:
-        """The ratios of all characters of ``chars`` but the first, added up."""
-        cache, n, out = self.cache, self.order, 0.0
-        for i in range(1, len(chars)):
-            gram = chars[i - n + 1 : i + 1] if i >= n else chars[: i + 1]
-            r = cache.get(gram)
-            if r is None:
-                r = self.ratio(gram)
-                if len(cache) < 200_000:
-                    cache[gram] = r
-            out += r
-        return out
+    """P(event | context, class) = discounted class count + freed mass * shared backoff, down to uniform, for characters
+    in words. The highest order has counts of each class, all lower orders the shared continuation counts: of how many
+    distinct grams one longer, over both classes, a gram is the end."""
+
+    def __init__(self, words: list[str], counts: list[np.ndarray]):
+        s = Spelled(words)
+        self.top = []
+        for c in counts:
+            w = c[s.owner[s.events]].astype(np.float64)
+            used = np.flatnonzero(w)
+            first = used[np.unique(s.top[used], return_index=True)[1]]
+            kinds = np.zeros(len(w))
+            kinds[first] = 1
+            self.top.append((Table(s.top[used], w[used]), Table(s.context[used], w[used], kinds[used])))
+        self.lower = []
+        for n in range(1, ORDER):
+            at = np.flatnonzero(s.place >= n)
+            at = at[np.unique(s.grams[n][at], return_index=True)[1]]
+            gram, context = s.lower(n, at)
+            first = np.zeros(len(at))
+            first[np.unique(gram, return_index=True)[1]] = 1
+            self.lower.append((Table(gram, np.ones(len(at))), Table(context, np.ones(len(at)), first)))
+        self.floor = 1.0 / (len(np.unique(s.grams[0])) + 1)
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """log P(word | class 1) - log P(word | class 0) of each word."""
+        if len(words) > 50_000:  # in pieces of bounded size
+            return np.concatenate([self.ratios(words[i : i + 50_000]) for i in range(0, len(words), 50_000)])
+        if not words:
+            return np.empty(0)
+        s = Spelled(words)
+        _, first, inv = np.unique(s.top, return_index=True, return_inverse=True)
+        at = s.events[first]
+        p = np.full(len(at), self.floor)
+        for n, (grams, contexts) in enumerate(self.lower, 1):
+            gram, context = s.lower(n, at)
+            (count,), (total, kinds) = grams.get(gram), contexts.get(context)
+            ok = (total > 0) & (s.place[at] >= n - 1)
+            of = np.maximum(total, 1)
+            p = np.where(ok, np.maximum(count - DISCOUNT, 0) / of + DISCOUNT * kinds / of * p, p)
+        logs = []
+        for grams, contexts in self.top:
+            (count,), (total, kinds) = grams.get(s.top[first]), contexts.get(s.context[first])
+            of = np.maximum(total, 1)
+            logs.append(np.log(np.where(total > 0, np.maximum(count - DISCOUNT, 0) / of + DISCOUNT * kinds / of * p, p)))
+        each = (logs[1] - logs[0])[inv.reshape(-1)]
+        return np.bincount(s.owner[s.events], each, len(words))
 
 
 def expression(word: str) -> str:
     return word.strip(_EDGE)
 
 
-def _spelled(word: str) -> Iterator[str]:
-    chars = f"^{word}$"
-    for i in range(1, len(chars)):
-        yield chars[max(0, i - ORDER + 1) : i + 1]
-
-
 class Ratios:
     """Log-likelihood ratios of expressions by the two models, from training texts of both classes, each an array of
     places in ``expressions``."""
 
     def __init__(self, texts: list[list[np.ndarray]], expressions: list[str]):
         v = len(expressions)
-        counts, pairs, chars = [], [], []
+        counts, pairs = [], []
         for of in texts:
             flat = np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64)
             before = np.concatenate([*(np.append(v, x[:-1]) if len(x) else x for x in of), np.empty(0, np.int64)]).astype(np.int64)
             counts.append(np.bincount(flat, minlength=v))
             pairs.append(np.unique(before * v + flat))
-            spelled = Counter()
-            for w in np.flatnonzero(counts[-1]).tolist():
-                if expressions[w]:
-                    n = int(counts[-1][w])
-                    for x in _spelled(expressions[w]):
-                        spelled[x] += n
-            chars.append(spelled)
         shared = np.bincount(np.union1d(*pairs) % max(v, 1), minlength=v)  # distinct words before it, over both classes
         total, n = max(1, int(shared.sum())), [max(1, int(c.sum())) for c in counts]
         freed = [DISCOUNT * max(1, np.count_nonzero(c)) / k for c, k in zip(counts, n, strict=True)]
-        seen = np.flatnonzero(counts[0] + counts[1])
+        seen = np.array([w for w in np.flatnonzero(counts[0] + counts[1]).tolist() if expressions[w]], np.int64)
         p = [np.maximum(counts[c][seen] - DISCOUNT, 0) / n[c] + freed[c] * shared[seen] / total for c in (0, 1)]
-        self.words = {expressions[w]: r for w, r in zip(seen.tolist(), np.log(p[1] / p[0]).tolist(), strict=True) if expressions[w]}
-        self.chars = KneserNey(chars, ORDER)
-        self.known: dict = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def of(self, word: str) -> tuple[float, float]:
-        if (got := self.known.get(word)) is None:
-            w = expression(word)
-            got = (self.words.get(w, 0.0), self.chars.sum(f"^{w}$")) if w else (0.0, 0.0)
-            if len(self.known) < 100_000:
-                self.known[word] = got
-        return got
+        known = [expressions[w] for w in seen.tolist()]
+        self.words = Table(word_hashes(pa.array(known, pa.string())), np.log(p[1] / p[0]))
+        self.chars = KneserNey(known, [c[seen] for c in counts])
+
+    def of(self, expressions: list[str]) -> np.ndarray:
+        """(word ratio, character ratio) of each expression; of the empty one 0."""
+        out = np.zeros((len(expressions), 2))
+        full = [i for i, w in enumerate(expressions) if w]
+        if full:
+            words = [expressions[i] for i in full]
+            out[full, 0] = self.words.get(word_hashes(pa.array(words, pa.string())))[0]
+            out[full, 1] = self.chars.ratios(words)
+        return out
 
 
 def features(word_ratio: np.ndarray, char_ratio: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -181,30 +195,18 @@ class Model:
         texts, expressions = [[to[x] for x in of] for of in texts], list(places)
         xs, ys = [], []
         for half in (0, 1):
-            r = Ratios([t[1 - half :: 2] for t in texts], expressions)
+            r = Ratios([t[1 - half :: 2] for t in texts], expressions).of(expressions)
             for label in (0, 1):
                 for t in texts[label][half::2]:
-                    v = np.array([r.of(expressions[w]) for w in t.tolist()]).reshape(-1, 2)
-                    xs.append(features(v[:, 0], v[:, 1], np.array([0, len(t)]))[0])
+                    xs.append(features(r[t, 0], r[t, 1], np.array([0, len(t)]))[0])
                     ys.append(label)
-            del r
         self.w = logistic(np.array(xs), np.array(ys, float))
         self.ratios = Ratios(texts, expressions)
 
-    def forget(self) -> None:
-        """Drops what was remembered of words seen, at the end of a task."""
-        if self.ratios:
-            self.ratios.known.clear()
-            self.ratios.chars.cache.clear()
-
     def scores(self, w: Words) -> np.ndarray:
         if self.ratios is None:
             return np.full(len(w.starts) - 1, self.rate)
-        vocab = w.vocab.to_pylist()
-        r = np.empty((len(vocab), 2))
-        for i, word in enumerate(vocab):
-            r[i] = self.ratios.of(word)
-        r = r[w.ids]
+        r = self.ratios.of([expression(x) for x in w.vocab.to_pylist()])[w.ids]
         x = features(r[:, 0], r[:, 1], w.starts)
         return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -35, 35)))
 
@@ -241,7 +243,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
         for b in slices(batches, 1):
             s = shared.value.scores(Words(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-        shared.value.forget()
 
     return rows.mapInArrow(run, _OUT)
 
@@ -253,7 +254,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
             yield b.filter(pa.array(shared.value.scores(Words(b.column(at))) < threshold))
-        shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
