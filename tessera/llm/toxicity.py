@@ -30,7 +30,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         self.keys, inv = np.unique(keys, return_inverse=True)
-        self.values = [np.bincount(inv, v, len(self.keys)) for v in values]
+        self.values = [np.bincount(inv.reshape(-1), v, len(self.keys)) for v in values]
 
     def get(self, keys: np.ndarray) -> list[np.ndarray]:
         if not len(self.keys):
@@ -73,24 +73,35 @@ class KneserNey:
     distinct grams one longer, over both classes, a gram is the end."""
 
     def __init__(self, words: list[str], counts: list[np.ndarray]):
-        s = Spelled(words)
+        tops: list[list] = [[] for _ in counts]
+        longer: list[list] = [[] for _ in range(1, ORDER)]
+        symbols = np.empty(0, np.uint64)
+        for i in range(0, len(words), 50_000):  # in pieces, of which the distinct grams are kept
+            s = Spelled(words[i : i + 50_000])
+            symbols = np.union1d(symbols, s.grams[0])
+            for c, out in zip(counts, tops, strict=True):
+                w = c[i : i + 50_000][s.owner[s.events]].astype(np.float64)
+                keys, first, inv = np.unique(s.top[w > 0], return_index=True, return_inverse=True)
+                out.append((keys, s.context[w > 0][first], np.bincount(inv.reshape(-1), w[w > 0], len(keys))))
+            for n, out in enumerate(longer, 1):
+                at = np.flatnonzero(s.place >= n)
+                at = at[np.unique(s.grams[n][at], return_index=True)[1]]
+                out.append((s.grams[n][at], *s.lower(n, at)))
         self.top = []
-        for c in counts:
-            w = c[s.owner[s.events]].astype(np.float64)
-            used = np.flatnonzero(w)
-            first = used[np.unique(s.top[used], return_index=True)[1]]
-            kinds = np.zeros(len(w))
-            kinds[first] = 1
-            self.top.append((Table(s.top[used], w[used]), Table(s.context[used], w[used], kinds[used])))
+        for out in tops:
+            gram, context, w = (np.concatenate([*x, np.empty(0, d)]) for x, d in zip(zip(*out, strict=True) if out else ([], [], []), (np.uint64, np.uint64, float), strict=True))
+            first = np.zeros(len(gram))
+            first[np.unique(gram, return_index=True)[1]] = 1
+            self.top.append((Table(gram, w), Table(context, w, first)))
         self.lower = []
-        for n in range(1, ORDER):
-            at = np.flatnonzero(s.place >= n)
-            at = at[np.unique(s.grams[n][at], return_index=True)[1]]
-            gram, context = s.lower(n, at)
+        for out in longer:
+            long, gram, context = (np.concatenate([*x, np.empty(0, np.uint64)]) for x in (zip(*out, strict=True) if out else ([], [], [])))
+            at = np.unique(long, return_index=True)[1]
+            gram, context = gram[at], context[at]
             first = np.zeros(len(at))
             first[np.unique(gram, return_index=True)[1]] = 1
             self.lower.append((Table(gram, np.ones(len(at))), Table(context, np.ones(len(at)), first)))
-        self.floor = 1.0 / (len(np.unique(s.grams[0])) + 1)
+        self.floor = 1.0 / (len(symbols) + 1)
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | class 1) - log P(word | class 0) of each word."""
