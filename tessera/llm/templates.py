@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import Words, materialise, mix, slices, table
 
@@ -33,11 +34,15 @@ _SPACE, _ODD = re.compile(r"[\x20\x09-\x0D]+"), ("  ", "\t", "\r", "\x0b", "\x0c
 
 
 def masked(line: str) -> str:
-    """The line's tokens by single spaces, those with a digit as FIELD."""
+    """The line's tokens by single spaces, those with a digit as FIELD if enough others are left to tell lines apart."""
     if any(c in line for c in _ODD):
         line = _SPACE.sub(" ", line)
     line = line.strip(" ")
-    return _VARIABLE.sub(FIELD, line) if any(c in line for c in "0123456789") else line
+    if any(c in line for c in "0123456789"):
+        m = _VARIABLE.sub(FIELD, line)
+        if m.count(FIELD) <= (1 - KEEP) * (m.count(" ") + 1):
+            return m
+    return line
 
 
 def _signed(x: int) -> int:
@@ -159,7 +164,7 @@ def without_recurring_lines(docs: DataFrame, *, broadcast: int = BROADCAST, **op
             k = [doc_key(d, t or "") for d, t in zip(b.column(where).to_pylist(), b.column(at).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int64())], names=[*b.schema.names, "doc__"])
 
-    schema = docs.schema.add("doc__", "bigint")
+    schema = T.StructType([*docs.schema.fields, T.StructField("doc__", T.LongType())])
     with_lists = docs.mapInArrow(keyed, schema).join(lists.withColumnRenamed("doc", "doc__"), "doc__", "left").select(*docs.columns, "gone__")
     return with_lists.mapInArrow(_rewrite(at, None, len(docs.columns), None), docs.schema)
 

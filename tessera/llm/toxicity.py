@@ -219,7 +219,7 @@ class Model:
             return np.full(len(w.starts) - 1, self.rate)
         r = self.ratios.of([expression(x) for x in w.vocab.to_pylist()])[w.ids]
         x = features(r[:, 0], r[:, 1], w.starts)
-        return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -35, 35)))
+        return np.where(np.diff(w.starts) > 0, 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -35, 35))), self.rate)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, of: int = 3, out: int = 1) -> Model:
@@ -243,7 +243,7 @@ _OUT = "doc_id bigint, held_out boolean, score double, predicted int"
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, sample: int = SAMPLE, of: int = 3, out: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts score what a text without evidence scores. If either class has fewer than two training texts,
+    Null texts and texts without words score the share of toxic training texts. If either class has fewer than two training texts,
     every score is the smoothed share of toxic ones. Repeated rows score alike. Labels, languages and sources are no
     input; other columns are ignored. An empty table gives an empty table.
     """
