@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, fold, mix, slices, table, word_hashes
+from tessera.llm.common import Words, fold, mix, release, slices, table, word_hashes
 
 #: The models learn from at most so many labelled texts of each class, those of least xxhash64(doc_id).
 SAMPLE = 1500
 DISCOUNT, ORDER, STRONG = 0.75, 6, 2.0
 _EDGE = ".,;:!?\"'()[]{}*%$&#-_|"
 N_FEATURES = 7
+#: Words spelled out at a time.
+PIECE = 20_000
 
 
 class Table:
@@ -47,8 +49,8 @@ class Spelled:
         lens = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
         cp = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.starts = np.cumsum(lens) - lens
-        self.owner = np.repeat(np.arange(len(words)), lens)
-        self.place = np.arange(len(cp)) - self.starts[self.owner]
+        self.owner = np.repeat(np.arange(len(words), dtype=np.int32), lens)
+        self.place = (np.arange(len(cp)) - self.starts[self.owner]).astype(np.int32)
         self.grams = [mix(cp)]
         with np.errstate(over="ignore"):
             for n in range(2, ORDER + 1):
@@ -76,11 +78,11 @@ class KneserNey:
         tops: list[list] = [[] for _ in counts]
         longer: list[list] = [[] for _ in range(1, ORDER)]
         symbols = np.empty(0, np.uint64)
-        for i in range(0, len(words), 50_000):  # in pieces, of which the distinct grams are kept
-            s = Spelled(words[i : i + 50_000])
+        for i in range(0, len(words), PIECE):  # in pieces, of which the distinct grams are kept
+            s = Spelled(words[i : i + PIECE])
             symbols = np.union1d(symbols, s.grams[0])
             for c, out in zip(counts, tops, strict=True):
-                w = c[i : i + 50_000][s.owner[s.events]].astype(np.float64)
+                w = c[i : i + PIECE][s.owner[s.events]].astype(np.float64)
                 keys, first, inv = np.unique(s.top[w > 0], return_index=True, return_inverse=True)
                 out.append((keys, s.context[w > 0][first], np.bincount(inv.reshape(-1), w[w > 0], len(keys))))
             for n, out in enumerate(longer, 1):
@@ -105,8 +107,8 @@ class KneserNey:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | class 1) - log P(word | class 0) of each word."""
-        if len(words) > 50_000:  # in pieces of bounded size
-            return np.concatenate([self.ratios(words[i : i + 50_000]) for i in range(0, len(words), 50_000)])
+        if len(words) > PIECE:  # in pieces of bounded size
+            return np.concatenate([self.ratios(words[i : i + PIECE]) for i in range(0, len(words), PIECE)])
         if not words:
             return np.empty(0)
         s = Spelled(words)
@@ -207,6 +209,7 @@ class Model:
         xs, ys = [], []
         for half in (0, 1):
             r = Ratios([t[1 - half :: 2] for t in texts], expressions).of(expressions)
+            release()
             for label in (0, 1):
                 for t in texts[label][half::2]:
                     xs.append(features(r[t, 0], r[t, 1], np.array([0, len(t)]))[0])
@@ -234,7 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, of: int = 3
     w = Words(pa.array(got["text"], pa.string()))
     for i, toxic in enumerate(got["toxic"]):
         split[toxic].append(w.ids[w.starts[i] : w.starts[i + 1]])
-    return Model(split, w.vocab.to_pylist())
+    vocab = w.vocab.to_pylist()
+    del got, w
+    release()
+    model = Model(split, vocab)
+    del split, vocab
+    release()
+    return model
 
 
 _OUT = "doc_id bigint, held_out boolean, score double, predicted int"
