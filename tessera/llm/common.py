@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +143,39 @@ class Words:
         return h[self.ids] if len(h) else np.empty(0, np.uint64)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes, compressed; a sorted unsigned array should come as differences."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        if a.dtype.kind == "i":
+            top = int(a.max(initial=0))
+            a = a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
+        raw = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+        parts.append(np.array([len(a), a.dtype.itemsize], np.int64).tobytes() + raw)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """What was packed, as unsigned arrays."""
+    raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
+    while at < len(raw):
+        n, size = np.frombuffer(raw, np.int64, 2, at)
+        planes = np.frombuffer(raw, np.uint8, n * size, at + 16).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{size}").reshape(n))
+        at += 16 + n * size
+    return out
+
+
+def steps(sorted_hashes: np.ndarray) -> np.ndarray:
+    """Differences, the first from 0; ``sums`` takes them back."""
+    return np.diff(sorted_hashes, prepend=np.uint64(0))
+
+
+def sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups from batches sorted by ``keys``; holds one group at a time."""
     held: list[pd.DataFrame] = []

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, partitions, slices, table
+from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, slices, steps, sums, table, unpack
 from tessera.llm.components import components
 
 #: Parts that may be empty on both sides before agreement could rest on empty parts alone.
 SPARE = 2
 #: Of a block in the check of heavy candidates.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
+#: Subset hashes that a task packs at once, and blocks of a packed row, which are read one after the other.
+FLUSH, BLOCKS = 4_000_000, 4
 
 
 def overlap(n1: int, n2: int, percent: int) -> int:
@@ -108,53 +110,110 @@ def signatures(s: np.ndarray, plan: Plan) -> tuple[list[int], list[np.ndarray]]:
     return sizes, [np.concatenate(light) if light else np.empty(0, np.uint64), np.concatenate(heavy) if heavy else np.empty(0, np.uint64)]
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sizes", pa.list_(pa.int32())), ("light", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64()))])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
 
 
-def _fingerprints(percent: int, k: int):
+def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = Plan(percent), set()
         for b in slices(batches, 1):
             w = Words(b.column(1))
             h = w.hashes()
-            out: dict = {c: [] for c in _ROWS.names}
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                s = shingle_set(h[w.starts[i] : w.starts[i + 1]], k)
-                key = set_key(s) if len(s) else None
-                if key is None or key in seen:  # copies within a task are listed once
-                    sizes, (light, heavy) = [], [np.empty(0, np.uint64)] * 2
-                else:
-                    sizes, (light, heavy) = signatures(s, plan)
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                for c, v in zip(_ROWS.names, (doc, len(s), key, sizes, light.view(np.int64), heavy.view(np.int64)), strict=True):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_ROWS)
+            sets = [shingle_set(h[i:j], k) for i, j in zip(w.starts, w.starts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], schema=_PRINTS)
+
+    return run
+
+
+def _packed(light: bool, held: list[tuple], buckets: int) -> Iterator[tuple]:
+    """(bucket, light, keys, blocks) from (key, set size, hashes, subset sizes): one row a hash range, sorted, with its
+    sets' keys once and BLOCKS parts of the range."""
+    keys, n = np.array([x[0] for x in held], np.int64).view(np.uint64), np.array([x[1] for x in held], np.int64)
+    of = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+    sig = np.concatenate([x[2] for x in held])
+    o = np.argsort(sig)
+    sig, of = sig[o], of[o]
+    sizes = np.concatenate([x[3] for x in held])[o].astype(np.int64) if light else None
+    place = (sig >> np.uint64(32)) * np.uint64(buckets)  # its upper half is the bucket, its lower half the place in it
+    cell = ((place >> np.uint64(32)) * np.uint64(BLOCKS) + ((place & np.uint64(0xFFFFFFFF)) * np.uint64(BLOCKS) >> np.uint64(32))).astype(np.int64)
+    cuts = np.searchsorted(cell, np.arange(buckets * BLOCKS + 1))
+    for bucket in range(buckets):
+        at = cuts[bucket * BLOCKS : (bucket + 1) * BLOCKS + 1]
+        if at[0] == at[-1]:
+            continue
+        known, first, inv = np.unique(keys[of[at[0] : at[-1]]], return_index=True, return_inverse=True)
+        inv = inv.reshape(-1)
+        blocks = [pack(steps(sig[i:j]), inv[i - at[0] : j - at[0]], *([sizes[i:j]] if light else [])) for i, j in zip(at, at[1:], strict=False)]
+        yield bucket, light, pack(steps(known), *([n[of[at[0] : at[-1]][first]]] if light else [])), blocks
+
+
+_LISTS = "bucket int, light boolean, keys binary, blocks array<binary>"
+
+
+def _lists(percent: int, k: int, buckets: int):
+    """Texts to their sets' subset hashes, packed by hash range; copies within a task are listed once."""
+
+    def batch(held: dict) -> pa.RecordBatch:
+        rows = [r for light in held if held[light] for r in _packed(light, held[light], buckets)]
+        types = (pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "light", "keys", "blocks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, seen = Plan(percent), set()
+        held: dict = {True: [], False: []}
+        size = 0
+        for b in slices(batches, 0):
+            w = Words(b.column(0))
+            h = w.hashes()
+            for i, j in zip(w.starts, w.starts[1:], strict=False):
+                s = shingle_set(h[i:j], k)
+                if not len(s) or (key := set_key(s)) in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(key)
+                sizes, (light, heavy) = signatures(s, plan)
+                for kind, x in ((True, light), (False, heavy)):
+                    if len(x):
+                        held[kind].append((key, len(s), x, np.array(sizes, np.uint8)))
+                        size += len(x)
+                if size >= FLUSH:
+                    yield batch(held)
+                    held, size = {True: [], False: []}, 0
+        yield batch(held)
 
     return run
 
 
-def _stars(light: bool, percent: int):
+def _stars(percent: int):
     """Per partition, which holds whole lists: each list's members hang on its first member. Light lists give links that
-    hold by the sizes alone; heavy ones give candidates."""
+    hold by the sizes alone; heavy ones give candidates. Rows stay packed; one block of them is open at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
+        held: dict = {True: [], False: []}
         for b in batches:
-            for c, v in zip(cols, b.columns, strict=True):
-                c.append(v.to_numpy(zero_copy_only=False))
-        if not cols[0]:
-            return
-        sig, key, n, t = (np.concatenate(c) for c in cols)
-        o = np.lexsort((key, n if light else key, sig))
-        sig, key, n, t = sig[o], key[o], n[o], t[o]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-        ok = key != key[head]
-        if light:  # the list's least set links all that reach the threshold with this overlap
-            ok &= percent * (n + n[head]) <= (100 + percent) * t
-        e = np.unique(np.stack([np.minimum(key, key[head])[ok], np.maximum(key, key[head])[ok]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+            for light, keys, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[light].append((keys, blocks))
+        for light, rows in held.items():
+            for i in range(BLOCKS if rows else 0):
+                cols: list[list[np.ndarray]] = [[], [], [], []]
+                for keys, blocks in rows:
+                    steps_, of, *t = unpack(blocks[i])
+                    known, *n = unpack(keys)
+                    of = of.astype(np.int64)
+                    for c, v in zip(cols, (sums(steps_), sums(known).view(np.int64)[of], *[x.astype(np.int64)[of] for x in n], *[x.astype(np.int64) for x in t]), strict=False):
+                        c.append(v)
+                sig, key, *more = (np.concatenate(c) for c in cols if c)
+                if not len(sig):
+                    continue
+                o = np.lexsort((key, more[0], sig) if light else (key, sig))
+                sig, key = sig[o], key[o]
+                first = np.concatenate([[True], sig[1:] != sig[:-1]])
+                head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+                ok = key != key[head]
+                if light:  # the list's least set links all that reach the threshold with this overlap
+                    n, t = (x[o] for x in more)
+                    ok &= percent * (n + n[head]) <= (100 + percent) * t
+                e = np.unique(np.stack([np.minimum(key, key[head])[ok], np.maximum(key, key[head])[ok]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1]), pa.array(np.full(e.shape[1], light))], names=["a", "b", "light"])
 
     return run
 
@@ -254,13 +313,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(_fingerprints(percent, k), "doc_id bigint, n bigint, key bigint, sizes array<int>, light array<bigint>, heavy array<bigint>"))
+    prints = materialise(rows.mapInArrow(_fingerprints(k), "doc_id bigint, n bigint, key bigint"))
     parts = partitions(spark)
-    light = prints.where(F.size("light") > 0).select("key", "n", F.explode(F.arrays_zip("light", "sizes")).alias("e")).select(F.col("e.light").alias("sig"), "key", "n", F.col("e.sizes").cast("bigint").alias("t"))
-    links = light.repartition(parts, "sig").mapInArrow(_stars(True, percent), "a bigint, b bigint")
-    heavy = prints.where(F.size("heavy") > 0).select(F.explode("heavy").alias("sig"), "key", "n", F.lit(0).cast("bigint").alias("t"))
-    near = components(heavy.repartition(parts, "sig").mapInArrow(_stars(False, percent), "a bigint, b bigint"))  # candidates
-
+    lists = rows.select("text").mapInArrow(_lists(percent, k, parts), _LISTS).repartitionById(parts, F.col("bucket"))
+    stars = materialise(lists.select("light", "keys", "blocks").mapInArrow(_stars(percent), "a bigint, b bigint, light boolean").distinct())
+    links = stars.where("light").select("a", "b")
+    near = components(stars.where("not light").select("a", "b"))  # candidates
     near = materialise(near)
     classes = prints.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     found = materialise(classes.join(bounded_broadcast(near, broadcast_rows).withColumnRenamed("node", "key"), "key").select("key", "first_id", "n", F.col("root").alias("comp")))

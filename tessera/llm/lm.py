@@ -15,11 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, crc, materialise, mix, partitions, release, slices, table
+from tessera.llm.common import Words, crc, materialise, mix, pack, partitions, release, slices, steps, sums, table, unpack
 
 GROUP_TOKENS = 1_000_000
 #: Context-frequency buckets: 0 for none, else 1 + floor(log2(count)).
@@ -31,37 +30,6 @@ STEP, CELLS = 0.5, 96
 TEXTS, TOTALS = -1, -2
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed; a sorted unsigned array should come as differences."""
-    parts = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        if a.dtype.kind == "i":
-            top = int(a.max(initial=0))
-            a = a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
-        raw = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-        parts.append(np.array([len(a), a.dtype.itemsize], np.int64).tobytes() + raw)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
-    while at < len(raw):
-        n, size = np.frombuffer(raw, np.int64, 2, at)
-        planes = np.frombuffer(raw, np.uint8, n * size, at + 16).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"u{size}").reshape(n))
-        at += 16 + n * size
-    return out
-
-
-def _steps(sorted_hashes: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_hashes, prepend=np.uint64(0))
-
-
-def _sums(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(steps, dtype=np.uint64)
-
-
 class Group:
     """Some whole texts as word-hash sequences, each followed by END."""
 
@@ -92,14 +60,14 @@ class Group:
 
     def packed(self) -> bytes:
         known = np.array([i is not None for i in self.ids], np.int64)
-        return _pack(known, np.array([i or 0 for i in self.ids], np.int64).view(np.uint64), self.train.astype(np.int64), self.lens.astype(np.int64), _steps(self.uni), self.tok.astype(np.int64))
+        return pack(known, np.array([i or 0 for i in self.ids], np.int64).view(np.uint64), self.train.astype(np.int64), self.lens.astype(np.int64), steps(self.uni), self.tok.astype(np.int64))
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Group:
-        known, ids, train, lens, uni, tok = _unpack(blob)
+        known, ids, train, lens, uni, tok = unpack(blob)
         g = cls.__new__(cls)
         g.ids = [int(i) if k else None for i, k in zip(ids.view(np.int64), known, strict=True)]
-        g.train, g.lens, g.uni, g.tok = train.astype(bool), lens.astype(np.int64), _sums(uni), tok.astype(np.int64)
+        g.train, g.lens, g.uni, g.tok = train.astype(bool), lens.astype(np.int64), sums(uni), tok.astype(np.int64)
         g._finish()
         return g
 
@@ -148,7 +116,7 @@ def _ask(of: int, out: int, em_of: int, buckets: int):
             (cu, cb), name = g.counts(), g.name()
             u, b = _ranges(g.uni, buckets), _ranges(g.bi, buckets)
             begins = int(g.train.sum())
-            rows = [(k, name, em, _pack(_steps(g.uni[u[k] : u[k + 1]]), cu[u[k] : u[k + 1]], _steps(g.bi[b[k] : b[k + 1]]), cb[b[k] : b[k + 1]], np.array([begins if k == 0 else 0]))) for k in range(buckets)]
+            rows = [(k, name, em, pack(steps(g.uni[u[k] : u[k + 1]]), cu[u[k] : u[k + 1]], steps(g.bi[b[k] : b[k + 1]]), cb[b[k] : b[k + 1]], np.array([begins if k == 0 else 0]))) for k in range(buckets)]
             k, n, e, p = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(e, pa.bool_()), pa.array(p, pa.binary())], names=["bucket", "name", "em", "payload"])
 
@@ -157,12 +125,12 @@ def _ask(of: int, out: int, em_of: int, buckets: int):
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """All requests of a hash range: the sums (without and with the EM groups' counts) for each group, and totals."""
-    got = [_unpack(p) for p in rows["payload"]]
+    got = [unpack(p) for p in rows["payload"]]
     em = rows["em"].to_numpy(bool)
     out, stats = [], {}
     totals = []
     for at in (0, 2):
-        h = [_sums(g[at]) for g in got]
+        h = [sums(g[at]) for g in got]
         n = np.array([len(x) for x in h])
         distinct, inv = np.unique(np.concatenate(h), return_inverse=True)
         c = np.concatenate([g[at + 1] for g in got]).astype(np.float64)
@@ -176,7 +144,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     stats |= {"s_main": begins[~em].sum(), "s_all": begins.sum()}
     for i, name in enumerate(rows["name"]):
         (um, ua), (bm, ba) = totals[0][i], totals[1][i]
-        out.append((rows["bucket"].iloc[0], name, bool(em[i]), _pack(ua, ua - um, ba, ba - bm)))
+        out.append((rows["bucket"].iloc[0], name, bool(em[i]), pack(ua, ua - um, ba, ba - bm)))
     out.append((TOTALS, 0, False, np.array([stats[k] for k in ("n_main", "n_all", "v_main", "v_all", "s_main", "s_all")], np.int64).tobytes()))
     return pd.DataFrame(out, columns=["bucket", "name", "em", "payload"])
 
@@ -195,7 +163,7 @@ def _meet(rows: pd.DataFrame, buckets: int) -> Iterator[tuple[Group, list[np.nda
     answers = rows[rows["bucket"] >= 0].drop_duplicates("bucket").sort_values("bucket")
     if len(answers) != buckets:
         raise RuntimeError("a group of texts has no counts: the input changed between two reads of it; materialise it first")
-    got = [_unpack(p) for p in answers["payload"]]
+    got = [unpack(p) for p in answers["payload"]]
     ua, ue, ba, be = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(4))
     for p in rows.loc[rows["bucket"] < 0, "payload"]:
         yield Group.unpacked(p), [ua, ua - ue, ba, ba - be]
