@@ -302,7 +302,7 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, percent: int = 90, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word shingles (A-Z lower-cased;
@@ -339,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, k: int = 3, percent: int = 90, broadcast_rows: int = 1_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` (doc_id, text, any other columns, which stay) with one row of each component: that of its least doc_id.
 
     doc_id names a document: rows that repeat id and text count as one. Rows with a null id stay, as do texts without
@@ -358,7 +358,7 @@ def one_of_each(docs: DataFrame, *, k: int = 3, percent: int = 90, broadcast_row
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's join over the whole ``documents`` table: 3-word shingles, 90 %."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 ORACLE = r"""

@@ -355,7 +355,8 @@ def test_leaks(spark, hard):
 # --- 8 ---
 
 
-def test_jaccard_against_brute_force(spark, hard):
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_against_brute_force(spark, hard, k, percent):
     rnd, texts = random.Random(7), []
     for n in (1, 2, 3, 7, 11, 12, 15, 18, 19, 20, 21, 24, 40, 120):
         for _ in range(4):
@@ -369,13 +370,13 @@ def test_jaccard_against_brute_force(spark, hard):
                     w.append(f"end{rnd.randrange(3)}")
                 texts.append(" ".join(w))
     rows = [(1000 + i, t) for i, t in enumerate(texts)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
-    sets = {i: shingles(t) for i, t in rows}
-    want = pairs_components(sets, 90)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows), k=k, percent=percent).collect()}
+    sets = {i: shingles(t, k) for i, t in rows}
+    want = pairs_components(sets, percent)
     assert got == {i: (len(sets[i]), want[i]) for i in sets} and len(set(want.values())) < len(rows)
-    out = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.jaccard_components(hard).collect())
+    out = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.jaccard_components(hard, k=3, percent=90).collect())
     assert out == [(0, 2, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (5, out[4][1], 5), (6, out[5][1], 5), (7, 3, 7), (7, 3, 7), (8, 3, 7), (9, 1, 9), (10, 3, 10), (11, 4, 11)]
-    assert sorted(r["doc_id"] or 0 for r in jaccard.one_of_each(hard).collect()) == [0, 1, 2, 3, 5, 7, 9, 10, 11]
+    assert sorted(r["doc_id"] or 0 for r in jaccard.one_of_each(hard, k=3, percent=90).collect()) == [0, 1, 2, 3, 5, 7, 9, 10, 11]
 
 
 def test_jaccard_blocks(spark, monkeypatch):
@@ -388,7 +389,7 @@ def test_jaccard_blocks(spark, monkeypatch):
         for p in rnd.sample(range(150), rnd.randrange(4)):
             w[p] = f"x{i}_{p}"
         rows.append((i, " ".join(w)))
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, rows), k=3, percent=90).collect()}
     assert got == pairs_components({i: shingles(t) for i, t in rows}, 90)
 
 
