@@ -20,8 +20,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (80 % of their five-word shingles) stays."""
-    return jaccard.one_of_each(docs, k=5, percent=80)
+    """One document of each group of near copies (90 % of their three-word shingles) stays."""
+    return jaccard.one_of_each(docs, k=3, percent=90)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
