@@ -2,10 +2,12 @@
 
 Light sets (few shingles) enumerate every subset of the sizes an overlap can have: two of them are linked exactly when
 they share one. Heavy sets would have too many subsets. They fall into size bands; in a band, sets that reach the
-threshold differ in at most D shingles, so of K = D + 1 + SPARE parts of the shingle space at least SPARE + 1 agree.
-Each part's content is one fixed-size subset and keys an inverted list; the sets on a list are candidates, grouped by
-components and checked against their whole sets in blocks of bounded size. The boundary is where enumerating subsets
-gets dearer than lists plus checks. Texts with equal sets form one class and are compared once.
+threshold differ in at most D shingles, so of K parts of the shingle space at least K - D agree. Each part's content keys
+an inverted list. With lists ordered by length, sets that agree on K - D of theirs share one among the D + 1 shortest of
+both, so only those are scanned: a set of which D + 1 lists hold nothing else has no partner, and passages that many
+texts quote make no candidates. Candidates are grouped by components and checked against their whole sets in blocks of
+bounded size. The boundary is where enumerating subsets gets dearer than lists plus checks. Texts with equal sets form
+one class and are compared once.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, slices, steps, sums, table, unpack
+from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, release, slices, steps, sums, table, unpack
 from tessera.llm.components import components
 
-#: Parts that may be empty on both sides before agreement could rest on empty parts alone.
-SPARE = 2
+#: Parts beyond the D + 1 that must be scanned: one in so many of them, and this many more.
+SPARE_ONE_IN, SPARE = 4, 2
 #: Of a block in the check of heavy candidates.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
 #: Subset hashes that a task packs at once, and blocks of a packed row, which are read one after the other.
@@ -50,7 +52,7 @@ class Plan:
         self.percent = percent
         self.light = 0
         n = 1
-        while n < 100_000 and sum(comb(n, t) for t in subset_sizes(n, percent)) <= 2 * (self._differ(n) + 1 + SPARE) + check_cost * n:
+        while n < 100_000 and sum(comb(n, t) for t in subset_sizes(n, percent)) <= 2 * self._parts(self._differ(n)) + check_cost * n:
             self.light, n = n, n + 1
         self.heavy_from = max(1, -(-percent * (self.light + 1) // 100))  # partners of heavy sets go on the lists too
         self.starts = [self.heavy_from]
@@ -61,10 +63,19 @@ class Plan:
         """Most elements in which two sets at the threshold differ, the smaller having ``smaller``: union <= smaller / t."""
         return (100 - self.percent) * smaller // self.percent
 
-    def instances(self, n: int) -> list[tuple[int, int]]:
-        """(band, parts) on which a heavy set of n shingles is listed: its own band, and the one below as the larger."""
+    @staticmethod
+    def _parts(differ: int) -> int:
+        return differ + 1 + (differ + 1) // SPARE_ONE_IN + SPARE
+
+    def instances(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, parts, those not scanned) of a heavy set of n shingles: its own band, and the one below as the larger."""
         j = int(np.searchsorted(self.starts, n, side="right")) - 1
-        return [(i, self._differ(self.starts[i + 1] - 1) + 1 + SPARE) for i in (j, j - 1) if i >= 0]
+        out = []
+        for i in (j, j - 1):
+            if i >= 0:
+                d = self._differ(self.starts[i + 1] - 1)
+                out.append((i, self._parts(d), self._parts(d) - d - 1))
+        return out
 
 
 def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
@@ -85,29 +96,26 @@ def set_key(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64))
 
 
-def signatures(s: np.ndarray, plan: Plan) -> tuple[list[int], list[np.ndarray]]:
-    """(sizes, subset hashes) as a light set, and the list keys as a heavy one."""
+def signatures(s: np.ndarray, plan: Plan) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Subset hashes and sizes as a light set; list keys and tags as a heavy one: 1 for the band below, 2 for an empty part."""
     n = len(s)
     with np.errstate(over="ignore"):
         m = mix(s ^ np.uint64(0xD6E8FEB86659FD93))
-        sizes: list[int] = []
-        light: list[np.ndarray] = []
+        light, sizes, heavy, tags = ([np.empty(0, t)] for t in (np.uint64, np.uint8, np.uint64, np.uint8))
         if n <= plan.light:
             whole = m.sum(dtype=np.uint64)
             for t in subset_sizes(n, plan.percent):
                 gone = np.array([m[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), n - t)], np.uint64) if t < n else np.zeros(1, np.uint64)
                 light.append(mix((whole - gone) ^ np.uint64(t << 48)))
-                sizes += [t] * len(light[-1])
-        heavy: list[np.ndarray] = []
+                sizes.append(np.full(len(gone), t, np.uint8))
         if n >= plan.heavy_from:
-            for band, k in plan.instances(n):
+            for below, (band, k, _) in enumerate(plan.instances(n)):
                 part = (mix(s) % np.uint64(k)).astype(np.int64)
-                sums, used = np.zeros(k, np.uint64), np.zeros(k, np.int64)
+                sums, used = np.zeros(k, np.uint64), np.bincount(part, minlength=k)
                 np.add.at(sums, part, m)
-                np.add.at(used, part, 1)
-                ids = np.flatnonzero(used) if np.count_nonzero(used == 0) <= SPARE else np.arange(k)
-                heavy.append(mix(sums[ids] ^ mix(np.uint64(band + 1) * np.uint64(1 << 32) + ids.astype(np.uint64))))
-    return sizes, [np.concatenate(light) if light else np.empty(0, np.uint64), np.concatenate(heavy) if heavy else np.empty(0, np.uint64)]
+                heavy.append(mix(sums ^ mix(np.uint64(band + 1) * np.uint64(1 << 32) + np.arange(k, dtype=np.uint64))))
+                tags.append((below + 2 * (used == 0)).astype(np.uint8))
+    return (np.concatenate(light), np.concatenate(sizes)), (np.concatenate(heavy), np.concatenate(tags))
 
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
@@ -125,14 +133,14 @@ def _fingerprints(k: int):
 
 
 def _packed(light: bool, held: list[tuple], buckets: int) -> Iterator[tuple]:
-    """(bucket, light, keys, blocks) from (key, set size, hashes, subset sizes): one row a hash range, sorted, with its
-    sets' keys once and BLOCKS parts of the range."""
+    """(bucket, light, keys, blocks) from (key, set size, hashes, tags): one row a hash range, sorted, with its sets' keys
+    and sizes once and BLOCKS parts of the range."""
     keys, n = np.array([x[0] for x in held], np.int64).view(np.uint64), np.array([x[1] for x in held], np.int64)
     of = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
     sig = np.concatenate([x[2] for x in held])
     o = np.argsort(sig)
     sig, of = sig[o], of[o]
-    sizes = np.concatenate([x[3] for x in held])[o].astype(np.int64) if light else None
+    tags = np.concatenate([x[3] for x in held])[o]
     place = (sig >> np.uint64(32)) * np.uint64(buckets)  # its upper half is the bucket, its lower half the place in it
     cell = ((place >> np.uint64(32)) * np.uint64(BLOCKS) + ((place & np.uint64(0xFFFFFFFF)) * np.uint64(BLOCKS) >> np.uint64(32))).astype(np.int64)
     cuts = np.searchsorted(cell, np.arange(buckets * BLOCKS + 1))
@@ -142,8 +150,8 @@ def _packed(light: bool, held: list[tuple], buckets: int) -> Iterator[tuple]:
             continue
         known, first, inv = np.unique(keys[of[at[0] : at[-1]]], return_index=True, return_inverse=True)
         inv = inv.reshape(-1)
-        blocks = [pack(steps(sig[i:j]), inv[i - at[0] : j - at[0]], *([sizes[i:j]] if light else [])) for i, j in zip(at, at[1:], strict=False)]
-        yield bucket, light, pack(steps(known), *([n[of[at[0] : at[-1]][first]]] if light else [])), blocks
+        blocks = [pack(steps(sig[i:j]), inv[i - at[0] : j - at[0]], tags[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        yield bucket, light, pack(steps(known), n[of[at[0] : at[-1]][first]]), blocks
 
 
 _LISTS = "bucket int, light boolean, keys binary, blocks array<binary>"
@@ -170,10 +178,9 @@ def _lists(percent: int, k: int, buckets: int):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
-                sizes, (light, heavy) = signatures(s, plan)
-                for kind, x in ((True, light), (False, heavy)):
+                for kind, (x, tags) in zip((True, False), signatures(s, plan), strict=True):
                     if len(x):
-                        held[kind].append((key, len(s), x, np.array(sizes, np.uint8)))
+                        held[kind].append((key, len(s), x, tags))
                         size += len(x)
                 if size >= FLUSH:
                     yield batch(held)
@@ -183,9 +190,13 @@ def _lists(percent: int, k: int, buckets: int):
     return run
 
 
-def _stars(percent: int):
-    """Per partition, which holds whole lists: each list's members hang on its first member. Light lists give links that
-    hold by the sizes alone; heavy ones give candidates. Rows stay packed; one block of them is open at a time."""
+_STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary())])
+
+
+def _stars(percent: int, buckets: int):
+    """Per partition, which holds whole lists: the members of a list of subsets hang on its least set, links that hold by
+    the sizes alone (a, b). Heavy lists of two sets or more go back to their sets, packed by range of the sets' keys
+    (bucket, shared). Rows stay packed; one block of them is open at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {True: [], False: []}
@@ -196,24 +207,75 @@ def _stars(percent: int):
             for i in range(BLOCKS if rows else 0):
                 cols: list[list[np.ndarray]] = [[], [], [], []]
                 for keys, blocks in rows:
-                    steps_, of, *t = unpack(blocks[i])
-                    known, *n = unpack(keys)
+                    steps_, of, tags = unpack(blocks[i])
+                    known, n = unpack(keys)
                     of = of.astype(np.int64)
-                    for c, v in zip(cols, (sums(steps_), sums(known).view(np.int64)[of], *[x.astype(np.int64)[of] for x in n], *[x.astype(np.int64) for x in t]), strict=False):
+                    for c, v in zip(cols, (sums(steps_), sums(known)[of], n.astype(np.int64)[of], tags.astype(np.int64)), strict=True):
                         c.append(v)
-                sig, key, *more = (np.concatenate(c) for c in cols if c)
+                sig, key, n, tag = (np.concatenate(c) for c in cols)
                 if not len(sig):
                     continue
-                o = np.lexsort((key, more[0], sig) if light else (key, sig))
-                sig, key = sig[o], key[o]
-                first = np.concatenate([[True], sig[1:] != sig[:-1]])
-                head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-                ok = key != key[head]
+                o = np.lexsort((key, n, sig))  # a set's key goes with its size, so copies of a set are neighbours
+                again = np.concatenate([[False], (sig[o][1:] == sig[o][:-1]) & (key[o][1:] == key[o][:-1])])
+                sig, key, n, tag = (x[o][~again] for x in (sig, key, n, tag))
+                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                length = np.diff(np.append(start, len(sig)))
+                head = np.repeat(start, length)
                 if light:  # the list's least set links all that reach the threshold with this overlap
-                    n, t = (x[o] for x in more)
-                    ok &= percent * (n + n[head]) <= (100 + percent) * t
-                e = np.unique(np.stack([np.minimum(key, key[head])[ok], np.maximum(key, key[head])[ok]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1]), pa.array(np.full(e.shape[1], light))], names=["a", "b", "light"])
+                    k = key.view(np.int64)
+                    ok = (head != np.arange(len(sig))) & (percent * (n + n[head]) <= (100 + percent) * tag)
+                    e = np.unique(np.stack([np.minimum(k, k[head])[ok], np.maximum(k, k[head])[ok]]), axis=1)
+                    none = pa.nulls(e.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1]), none.cast(pa.int32()), none.cast(pa.binary())], schema=_STARS)
+                    continue
+                length = np.repeat(length, length)
+                use = np.flatnonzero(length > 1)
+                use = use[np.argsort(key[use], kind="stable")]
+                head, length, n, tag, low, key = key[head[use]], length[use], n[use], tag[use], (sig[use] & np.uint64(0xFFFF)).astype(np.uint16), key[use]
+                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                out = []
+                for j in np.flatnonzero(np.diff(cuts)):
+                    x = slice(cuts[j], cuts[j + 1])
+                    known, first, of = np.unique(key[x], return_index=True, return_inverse=True)
+                    heads, on = np.unique(head[x], return_inverse=True)
+                    out.append((int(j), pack(steps(known), n[x][first], of.reshape(-1), steps(heads), on.reshape(-1), length[x], tag[x], low[x])))
+                none = pa.nulls(len(out), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], schema=_STARS)
+
+    return run
+
+
+def _candidates(percent: int):
+    """Per partition, which has all lists that sets share with others: each set hangs on the first set of those lists that
+    are among its D + 1 shortest. Lists of one set come first and were not sent; lists of empty parts come last; equal
+    places are all taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(percent)
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                known, n, of, heads, on, length, tag, low = unpack(blob)
+                of, tag = of.astype(np.int64), tag.astype(np.uint64)
+                order = (tag >> np.uint64(1)) << np.uint64(63) | length.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64)
+                for c, v in zip(cols, (sums(known)[of], n.astype(np.int64)[of], sums(heads)[on.astype(np.int64)], (tag & np.uint64(1)).astype(np.int64), order), strict=True):
+                    c.append(v)
+        if not cols[0]:
+            return
+        key, n, head, below, order = (np.concatenate(c) for c in cols)
+        o = np.lexsort((order, below, key))
+        key, n, head, below, order = (x[o] for x in (key, n, head, below, order))
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (below[1:] != below[:-1])]))
+        length = np.diff(np.append(start, len(key)))
+        kinds, of = np.unique(n[start] * 2 + below[start], return_inverse=True)
+        spare = np.array([plan.instances(int(x) // 2)[int(x) % 2][2] for x in kinds])[of.reshape(-1)]
+        take = length - spare
+        last = order[start + np.maximum(take, 1) - 1]
+        ok = np.repeat(take > 0, length) & (order <= np.repeat(last, length)) & (key != head)
+        e = np.unique(np.stack([key[ok].view(np.int64), head[ok].view(np.int64)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+        release()
 
     return run
 
@@ -316,9 +378,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = materialise(rows.mapInArrow(_fingerprints(k), "doc_id bigint, n bigint, key bigint"))
     parts = partitions(spark)
     lists = rows.select("text").mapInArrow(_lists(percent, k, parts), _LISTS).repartitionById(parts, F.col("bucket"))
-    stars = materialise(lists.select("light", "keys", "blocks").mapInArrow(_stars(percent), "a bigint, b bigint, light boolean").distinct())
-    links = stars.where("light").select("a", "b")
-    near = components(stars.where("not light").select("a", "b"))  # candidates
+    stars = materialise(lists.select("light", "keys", "blocks").mapInArrow(_stars(percent, parts), "a bigint, b bigint, bucket int, shared binary"))
+    links = stars.where("shared is null").select("a", "b")
+    back = stars.where("shared is not null").select("bucket", "shared").repartitionById(parts, F.col("bucket"))
+    near = components(back.select("shared").mapInArrow(_candidates(percent), "a bigint, b bigint"))
     near = materialise(near)
     classes = prints.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     found = materialise(classes.join(bounded_broadcast(near, broadcast_rows).withColumnRenamed("node", "key"), "key").select("key", "first_id", "n", F.col("root").alias("comp")))
