@@ -393,6 +393,25 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert got == pairs_components({i: shingles(t) for i, t in rows}, 90)
 
 
+def test_jaccard_shared_passages(spark, monkeypatch):
+    """Texts that quote the same passages are no candidates; near copies among them are found at the threshold exactly."""
+    rnd, rows = random.Random(13), []
+    quotes = [prose(rnd, 30) for _ in range(3)]
+    for i in range(60):
+        w = f"{prose(rnd, 60)} {quotes[i % 3]} {prose(rnd, 60)} {quotes[(i + 1) % 3]} {prose(rnd, 60)}".split()
+        rows.append((i, " ".join(w)))
+        if i < 24:  # substitutions that end on both sides of 80 %
+            for p in range(5, len(w) - 5, 30 + 2 * i):
+                w[p] = f"x{i}_{p}"
+            rows.append((100 + i, " ".join(w)))
+    seen = []
+    monkeypatch.setattr(jaccard, "components", lambda e: seen.append(e.count()) or components.components(e))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    want = pairs_components({i: shingles(t, 5) for i, t in rows}, 80)
+    assert got == want and 60 < len(set(want.values())) < len(rows)
+    assert seen[0] <= 24 * 8
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
