@@ -87,26 +87,28 @@ def _search(shared, k: int):
                 for i in range(0, len(at), TILE):
                     ids, rows = vec_ids[at[i : i + TILE]], x[i : i + TILE]
                     tile = Tile(rows) if d in tiles else None
+                    by_id = np.argsort(ids, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], np.diff(ids[by_id]) != 0]))
+                    kinds = len(starts)
                     for t, (qids, qx, qtile) in enumerate(tiles.get(d, [])):
                         got, off = bounds(qtile, tile)
                         own = qids[:, None] == ids[None, :]
                         got[own] = -np.inf
-                        if len(ids) > k:
-                            low = np.partition(got - off, len(ids) - k, axis=1)[:, len(ids) - k]
-                            floor[d][t] = np.maximum(floor[d][t], low)
+                        if kinds > k:
+                            low = got - off if kinds == len(ids) else np.maximum.reduceat((got - off)[:, by_id], starts, axis=1)  # the best of each id
+                            floor[d][t] = np.maximum(floor[d][t], np.partition(low, kinds - k, axis=1)[:, kinds - k])
                         qi, ri = np.nonzero((got + off >= floor[d][t][:, None]) & ~own)
                         for j in range(0, len(qi), _PAIRS):
                             a, r = qi[j : j + _PAIRS], ri[j : j + _PAIRS]
                             s = cosine(qx[a], rows[r])
-                            o = np.lexsort((ids[r], -s, a))  # a query's best first: of equal rows only k reach the heap
-                            a, r, s = a[o], r[o], s[o]
-                            new = np.concatenate([[True], a[1:] != a[:-1]])
-                            for q, v, c in _firsts(a, r, s, new, ids, k):
+                            for q, v, c in _firsts(a, r, s, ids, k):
                                 h = heaps[(int(qids[q]))]
                                 item = (c, -v)
-                                if item in h:
-                                    continue
-                                if len(h) < k:
+                                if old := next((x for x in h if x[1] == -v), None):
+                                    if item > old:  # the id keeps its one place
+                                        h[h.index(old)] = item
+                                        heapq.heapify(h)
+                                elif len(h) < k:
                                     heapq.heappush(h, item)
                                 elif item > h[0]:
                                     heapq.heapreplace(h, item)
@@ -119,17 +121,18 @@ def _search(shared, k: int):
     return run
 
 
-def _firsts(a, r, s, new, ids, k):
-    """The first k pairs with distinct ids of each query, from pairs in order."""
+def _firsts(a, r, s, ids, k):
+    """Each query's k best pairs with distinct ids, best first; an id repeated counts with its best score."""
+    o = np.lexsort((-s, ids[r], a))
+    a, v, s = a[o], ids[r[o]], s[o]
+    one = np.concatenate([[True], (a[1:] != a[:-1]) | (v[1:] != v[:-1])])[: len(a)]
+    a, v, s = a[one], v[one], s[one]
+    o = np.lexsort((v, -s, a))
+    a, v, s = a[o], v[o], s[o]
+    new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
     place = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    again = np.concatenate([[False], (a[1:] == a[:-1]) & (ids[r][1:] == ids[r][:-1])])
-    for i in np.flatnonzero((place < k) | _late(place, again, k)):
-        yield int(a[i]), int(ids[r[i]]), float(s[i])
-
-
-def _late(place, again, k):
-    """Repeated rows take places; let later ones through where there are any."""
-    return np.full(len(place), bool(again.any()))
+    for i in np.flatnonzero(place < k):
+        yield int(a[i]), int(v[i]), float(s[i])
 
 
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5) -> DataFrame:

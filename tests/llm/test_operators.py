@@ -483,6 +483,27 @@ def test_nearest_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("hot", [2, 25, 3000])
+def test_nearest_rows_repeated_near_a_query(spark, hot):
+    """A query's nearest row over and over, and one id with two vectors, take one place each."""
+    rnd = np.random.default_rng(8)
+    v = rnd.normal(size=(400, 16))
+    near = v[0] + 0.01 * rnd.normal(size=16)
+    rows = [(i, v[i].tolist()) for i in range(400)] + [(900, near.tolist())] * hot + [(901, (-near).tolist()), (901, (v[0] + 0.02 * near).tolist()), (901, (v[0] + rnd.normal(size=16) * 0.3).tolist())]
+    rnd.shuffle(order := list(range(len(rows))))
+    df = spark.createDataFrame([rows[i] for i in order], "vec_id bigint, embedding array<double>").coalesce(1)
+    got = {}
+    for r in nearest.nearest(df, df.where("vec_id < 20")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = [(i, np.array(x) / np.linalg.norm(x)) for i, x in rows]
+    for q in range(20):
+        best = {}
+        for i, x in unit:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), float(unit[q][1] @ x))
+        assert got[q] == sorted(best, key=lambda i: -best[i])[:5]
+
+
 def test_tile_bounds_hold():
     rnd = np.random.default_rng(4)
     a, b = rnd.normal(size=(80, 24)) * rnd.lognormal(0, 2, (80, 1)), rnd.normal(size=(90, 24))
