@@ -3,8 +3,10 @@
 A line's path in the tree is its number of tokens and its leading tokens, with tokens that hold a digit as ``<*>``. In a
 leaf, a position at which more than MAX_CHILDREN tokens occur is a variable field too, as long as the line keeps most of
 its tokens; the line with its variable fields as ``<*>`` is its template. A template that recurs in many documents is
-boilerplate and its lines are dropped. Copies of a document are not many documents: carriers are told apart by a core,
-the least hash of the text's shingles, which copies share, and most carriers must have cores of their own.
+boilerplate and its lines are dropped. Copies of a document are not many documents: carriers are told apart by two cores,
+the least hashes of the shingles of their other lines, which copies share. Near copies differ in a core now and then
+(in one of five at 80 % of common shingles), so either the distinct cores must be more than that of the distinct texts,
+or enough carriers must share neither core with another. Rows that repeat a text add nothing to either side.
 
 The statistics of a leaf are sums that combine in any order, so no leaf is gathered anywhere.
 """
@@ -21,12 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, materialise, mix, slices, table
+from tessera.llm.common import Words, bounded_broadcast, materialise, mix, slices, table
 
 FIELD = "<*>"
 DEPTH, MAX_CHILDREN, KEEP = 3, 8, 0.6
-#: Documents that a template needs, tokens of a line, and the share of carriers with cores of their own.
-MIN_DOCS, MIN_TOKENS, OWN_CORES = 10, 2, 0.5
+#: Documents that a template needs and tokens of a line.
+MIN_DOCS, MIN_TOKENS = 10, 2
+#: Distinct carriers of the documents needed; distinct cores of a carrier's distinct texts (near copies have a fifth) or
+#: carriers that share neither core, of those that differ in one (near copies have a ninth).
+OWN, CORES, APART = 0.5, 0.25, 1 / 6
+#: Templates whose carriers are compared, broadcast at most.
+CANDIDATES = 1_000_000
 #: Dropped lines' hashes broadcast at most (8 bytes each); beyond it each document gets its own list by a join.
 BROADCAST = 2_000_000
 _VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
@@ -61,61 +68,98 @@ def doc_key(doc_id, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=(doc_id or 0) & 0xFFFFFFFFFFFFFFFF))
 
 
-def _cores(texts: pa.Array) -> np.ndarray:
-    w = Words(texts)
-    h = w.hashes()
-    out = np.zeros(len(w.starts) - 1, np.uint64)
+def _cores(lines: list[str]) -> tuple[list[int | None], list[int | None]]:
+    """Two hashes of each line, each the least of its shingles of five words, mixed so that a long line has no advantage."""
+    w = Words(pa.array(lines, pa.string()))
+    h, n = w.hashes(), np.diff(w.starts)
+    full = np.flatnonzero(n)
+    line = np.repeat(np.arange(len(n)), n)
+    x = np.zeros(len(h), np.uint64)
     with np.errstate(over="ignore"):
-        x = np.zeros(len(h), np.uint64)
-        for i in range(5):  # shingles of five words; the last ones of a text are shorter by running into the next
-            x[: len(h) - i] = mix(x[: len(h) - i] * np.uint64(0x100000001B3) ^ h[i:])
-    for i, (a, b) in enumerate(zip(w.starts, w.starts[1:], strict=False)):
-        if b > a:
-            out[i] = x[a : max(a + 1, b - 4)].min()
-    return out.view(np.int64)
+        for i in range(5):
+            m = len(h) - i
+            if m > 0:
+                same = line[:m] == line[i:]  # shingles end with their line
+                x[:m] = np.where(same, mix(x[:m] * np.uint64(0x100000001B3) ^ h[i:]), x[:m])
+    tail = np.arange(len(h)) > np.maximum(w.starts[1:] - 5, w.starts[:-1])[line]
+    out = []
+    for seed in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15)):
+        least = np.full(len(n), None, object)
+        if len(full):
+            y = mix(x ^ seed)
+            y[tail] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            least[full] = mix(np.minimum.reduceat(y, w.starts[full])).view(np.int64)
+        out.append(least.tolist())
+    return out[0], out[1]
+
+
+def _two(found: list[tuple[int, int]]) -> tuple[int, int | None, int]:
+    """(the least hash, its leaf, the least hash of another leaf or else the first)."""
+    if not found:
+        return 0, None, 0
+    first, leaf = min(found)
+    return first, leaf, min((c for c, x in found if x != leaf), default=first)
 
 
 def _lines(depth: int, min_tokens: int, with_text: bool):
-    names = ["doc", "core", "leaf", "line", *["masked"] * with_text]
+    names = ["doc", *["core", "core2", "copy"] * (not with_text), "leaf", "line", *["masked"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 4 << 20):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            core = np.zeros(len(texts), np.int64) if with_text else _cores(b.column(1))
+            split = [t.split("\n") for t in texts]
+            cores = ([], []) if with_text else _cores([x for s in split for x in s])
             known: dict[str, tuple[int, int]] = {}
-            rows = []
-            for doc, text, c in zip(b.column(0).to_pylist(), texts, core.tolist(), strict=True):
-                key, seen = doc_key(doc, text), set()
-                for line in text.split("\n"):
+            rows, at = [], 0
+            for doc, text, lines in zip(b.column(0).to_pylist(), texts, split, strict=True):
+                key, seen, judged = doc_key(doc, text), set(), []
+                found: tuple[list, list] = [], []
+                for i, line in enumerate(lines, at):
                     m = masked(line)
+                    if (got := known.get(m)) is None:
+                        got = known[m] = leaf_hash(m, depth), line_hash(m)
+                    if not with_text and cores[0][i] is not None:
+                        for f, c in zip(found, cores, strict=True):
+                            f.append((c[i], got[0]))
                     if m in seen or m.count(" ") + 1 < min_tokens:
                         continue
                     seen.add(m)
-                    if (got := known.get(m)) is None:
-                        got = known[m] = leaf_hash(m, depth), line_hash(m)
-                    rows.append((key, c, *got, *[m] * with_text))
+                    judged.append((*got, m))
+                at += len(lines)
+                if with_text:
+                    rows += [(key, *j) for j in judged]
+                else:
+                    two, copy = [_two(f) for f in found], line_hash(text)
+                    rows += [(key, *(second if leaf == own else first for first, own, second in two), copy, leaf, line) for leaf, line, _ in judged]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(cols)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "masked" else pa.int64()) for k, c in zip(names, cols, strict=True)], names=names)
 
     return run
 
 
-def recurring(docs: DataFrame, *, depth: int = DEPTH, max_children: int = MAX_CHILDREN, keep: float = KEEP, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, own_cores: float = OWN_CORES) -> tuple[DataFrame, DataFrame]:
-    """(lines by document: doc, core, leaf, line; recurring ones: line, template, docs), from ``docs`` (doc_id, text)."""
+def recurring(docs: DataFrame, *, depth: int = DEPTH, max_children: int = MAX_CHILDREN, keep: float = KEEP, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, own: float = OWN, cores: float = CORES, apart: float = APART) -> tuple[DataFrame, DataFrame]:
+    """(lines by document: doc, core, core2, copy, leaf, line; recurring ones: line, template, docs), from ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = rows.mapInArrow(_lines(depth, min_tokens, False), "doc bigint, core bigint, leaf bigint, line bigint")
-    by_line = materialise(lines.groupBy("leaf", "line", "core").agg(F.count("*").alias("n")))  # a row for each line and core
+    lines = rows.mapInArrow(_lines(depth, min_tokens, False), "doc bigint, core bigint, core2 bigint, copy bigint, leaf bigint, line bigint")
+    by_line = materialise(lines.groupBy("leaf", "line", "core", "core2", "copy").agg(F.count("*").alias("n")))  # a row for each line and carrier
     leaves = by_line.groupBy("leaf").agg(F.sum("n").alias("n"), F.min("line").alias("a"), F.max("line").alias("b")).where(F.col("n") >= min_docs).where("a <> b").select("leaf")
     leaves = materialise(leaves)
-    texts = rows.mapInArrow(_lines(depth, min_tokens, True), "doc bigint, core bigint, leaf bigint, line bigint, masked string").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    texts = rows.mapInArrow(_lines(depth, min_tokens, True), "doc bigint, leaf bigint, line bigint, masked string").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     texts = materialise(texts)
     tokens = texts.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     wide = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).groupBy("leaf", "at").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).groupBy("leaf").agg(F.sort_array(F.collect_set("at")).alias("fields"))  # at most a row's positions
     named = texts.join(wide, "leaf").withColumn("t", F.expr(f"transform(split(masked, ' '), (x, i) -> if(array_contains(fields, i), '{FIELD}', x))"))
     named = named.where(F.expr(f"size(filter(t, x -> x <> '{FIELD}')) >= {keep} * size(t)")).select(F.col("line").alias("l"), F.xxhash64("leaf", F.array_join("t", " ")).alias("named"))
-    known = by_line.join(named, by_line.line == named.l, "left").select("line", F.coalesce("named", "line").alias("template"), "core", "n")
-    count = known.groupBy("template", "core").agg(F.sum("n").alias("n")).groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("cores"))
-    often = count.where((F.col("docs") >= min_docs) & (F.col("cores") >= F.greatest(F.lit(min_docs) / 2, F.col("docs") * own_cores)))
+    known = by_line.join(named, by_line.line == named.l, "left").select("line", F.coalesce("named", "line").alias("template"), "core", "core2", "copy", "n")
+    carriers = known.groupBy("template", "core", "core2", "copy").agg(F.sum("n").alias("n"))
+    count = carriers.groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("texts"))
+    often = materialise(count.where((F.col("docs") >= min_docs) & (F.col("texts") >= min_docs * own)))
+    some = carriers.join(bounded_broadcast(often.select("template"), CANDIDATES), "template", "left_semi").select("template", "core", "core2").distinct()
+    side = lambda a, b: some.groupBy("template", a).agg(F.count("*").alias("m"), F.min(b).alias(b)).select("template", "core", "core2", "m", F.lit(a).alias("by"))
+    both = side("core", "core2").unionAll(side("core2", "core")).groupBy("template", "core", "core2").agg(F.count_if(F.col("m") == 1).alias("alone"), F.count_if(F.col("by") == "core").alias("a"), F.count_if(F.col("by") == "core2").alias("b"), F.sum(F.when(F.col("by") == "core", F.col("m"))).alias("m"))
+    told = both.groupBy("template").agg(F.count_if(F.col("alone") == 2).alias("apart"), F.greatest(F.sum("a"), F.sum("b")).alias("cores"), F.sum("m").alias("differ"))
+    least = F.lit(min_docs * own)
+    often = often.join(told, "template").where((F.col("cores") >= F.greatest(least, F.col("texts") * cores)) | (F.col("apart") >= F.greatest(least, F.col("differ") * apart)))
     return lines, known.select("line", "template").distinct().join(often.select("template", "docs"), "template")
 
 

@@ -189,6 +189,34 @@ def test_line_templates(spark):
     assert got[200] is None and got[201] == "" and 202 not in got
 
 
+def test_long_passages_and_hot_copies(spark):
+    """Long shared lines go though they are most of a text, and though one carrier is copied often; copies stay."""
+    rnd = random.Random(12)
+    rows, kept, at = [], {}, 0
+    for _ in range(6):
+        passage = prose(rnd, 60, 10**6)
+        for _ in range(100):
+            kept[at] = prose(rnd, 20, 10**6)
+            rows.append((at, f"{passage}\n{kept[at]}"))
+            at += 1
+    line, copied = prose(rnd, 12, 10**6), prose(rnd, 30, 10**6)
+    for _ in range(60):
+        kept[at] = prose(rnd, 30, 10**6)
+        rows.append((at, f"{kept[at]}\n{line}"))
+        at += 1
+    for _ in range(400):
+        rows.append((at, f"{copied}\n{line}"))
+        kept[at] = copied
+        at += 1
+    near = [prose(rnd, 40, 10**6).split(" ") for _ in range(4)]
+    for _ in range(200):  # near copies: a word in forty is another
+        rows.append((at, "\n".join(" ".join(x if rnd.random() > 1 / 40 else f"n{rnd.random()}" for x in n) for n in [*near, line.split(" ")[::-1]])))
+        kept[at] = rows[-1][1]
+        at += 1
+    got = {r["doc_id"]: r["text"] for r in templates.without_recurring_lines(docs(spark, rows)).collect()}
+    assert got == kept
+
+
 def test_line_lists_by_join_are_the_same(spark):
     df = common.table(spark, SMALL, "documents")
     a, b = (sorted(map(repr, templates.without_recurring_lines(df, broadcast=n, min_docs=4).collect())) for n in (10**6, 0))
