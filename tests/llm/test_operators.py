@@ -340,6 +340,19 @@ def test_html_hosts(spark):
 # --- 7 ---
 
 
+def test_html_large_hosts_are_judged_whole(spark):
+    """A host in many chunks gives what it gives in one: rare runs, runs that cuts hold too, equal pages."""
+    rnd = random.Random(6)
+    runs = [prose(rnd, 12) for _ in range(30)]
+    rows = [(i, f"http://h.example/{i}", f"<body><nav>{rnd.choice(runs)}</nav><p>{runs[i // 4]}</p><p>{prose(rnd, 20)}</p><p>{rnd.choice(runs)}</p></body>") for i in range(100)]
+    rows += [(200 + i, f"http://h.example/{i}", f"<p>{rows[0][2]} the same page at two more places but nowhere else on it</p>") for i in range(2)]
+    rows += [(300, "http://h.example/x", "<p>short</p>"), (301, "http://h.example/y", None), (302, "http://o.example/", rows[3][2]), rows[5], (303, "http://h.example/z", f"<main>{runs[1]}</main>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    whole, cut = (sorted(map(repr, html.main_text(df, chunk=n).collect())) for n in (2000, 5))
+    assert cut == whole and len(cut) == len(rows)
+    assert all(runs[i // 4] not in r for i in range(100) for r in cut if r.startswith(f"Row(page_id={i},"))
+
+
 def test_masks_find_every_overlap_with_a_fifth_replaced():
     for n in (10, 13, 15):
         for gone in itertools.combinations(range(n), n // 5):
