@@ -2,7 +2,7 @@
 
 A line's path in the tree is its number of tokens and its leading tokens, with tokens that hold a digit as ``<*>``. In a
 leaf, a position at which more than MAX_CHILDREN tokens occur is a variable field too, as long as the line keeps most of
-its tokens; the line with its variable fields as ``<*>`` is its template. A template that recurs in many documents is
+its tokens (tokens that hold a digit need only one word beside them); the line with its variable fields as ``<*>`` is its template. A template that recurs in many documents is
 boilerplate and its lines are dropped. Copies of a document are not many documents: carriers are told apart by two cores,
 the least hashes of the shingles of their other lines, which copies share. Near copies differ in a core now and then
 (in one of five at 80 % of common shingles), so either the distinct cores must be more than that of the distinct texts,
@@ -41,13 +41,13 @@ _SPACE, _ODD = re.compile(r"[\x20\x09-\x0D]+"), ("  ", "\t", "\r", "\x0b", "\x0c
 
 
 def masked(line: str) -> str:
-    """The line's tokens by single spaces, those with a digit as FIELD if enough others are left to tell lines apart."""
+    """The line's tokens by single spaces, those with a digit as FIELD if a word (a token with a letter) is left."""
     if any(c in line for c in _ODD):
         line = _SPACE.sub(" ", line)
     line = line.strip(" ")
     if any(c in line for c in "0123456789"):
         m = _VARIABLE.sub(FIELD, line)
-        if m.count(FIELD) <= (1 - KEEP) * (m.count(" ") + 1):
+        if any(c.isalpha() for c in m):
             return m
     return line
 

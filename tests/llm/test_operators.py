@@ -217,6 +217,15 @@ def test_long_passages_and_hot_copies(spark):
     assert got == kept
 
 
+def test_short_counter_lines(spark):
+    rnd = random.Random(13)
+    n = lambda: rnd.randrange(10**6)
+    body = [prose(rnd, 20, 10**6) for _ in range(40)]
+    rows = [(i, "\n".join([f"Page {n()} of {n()}", b, f"Page {n()}", f"Views: {n()}", f"Comments ({n()})", f"Posted {i} March 2{i:03d}", f"2024-01-{i} 12:00:{i} ERROR {n()}", f"{n()} {n()} | {n()}"])) for i, b in enumerate(body)]
+    got = {r["doc_id"]: r["text"] for r in templates.without_recurring_lines(docs(spark, rows)).collect()}
+    assert got == {i: f"{b}\n{rows[i][1].split(chr(10))[-1]}" for i, b in enumerate(body)}
+
+
 def test_line_lists_by_join_are_the_same(spark):
     df = common.table(spark, SMALL, "documents")
     a, b = (sorted(map(repr, templates.without_recurring_lines(df, broadcast=n, min_docs=4).collect())) for n in (10**6, 0))
