@@ -115,6 +115,12 @@ _add("order_total", "SELECT SUM(l_extendedprice) AS ol_total FROM lineitem WHERE
 _add("point_for_update", "SELECT s_name, s_acctbal FROM supplier WHERE s_suppkey = 3 FOR UPDATE", "SELECT s_name, s_acctbal FROM supplier WHERE s_suppkey = 3")
 # compat mode agrees where there are no nulls
 _add("compat_count", "SELECT COUNT(*) AS n, SUM(l_linenumber) AS total FROM lineitem, orders WHERE l_orderkey = o_orderkey AND o_custkey < 100", "SELECT CAST(COUNT(*) AS INTEGER) AS n, CAST(SUM(l_linenumber) AS INTEGER) AS total FROM lineitem, orders WHERE l_orderkey = o_orderkey AND o_custkey < 100", mode=COMPAT)
+# the same operators over whole tables, without the id prefixes of the queries above
+_add("theta_join_all", "SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_nationkey < n_nationkey")
+_add("cross_join_three_all", "SELECT r_name, n_name, s_suppkey FROM region, nation, supplier")
+_add("index_lookup_join_all", "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey")
+_add("sum_double_all", "SELECT SUM(o_totalprice) AS total FROM orders", "SELECT round(SUM(o_totalprice), 2) AS total FROM orders", rounded=("total",))
+_add("compat_count_all", "SELECT COUNT(*) AS n, SUM(l_linenumber) AS total FROM lineitem, orders WHERE l_orderkey = o_orderkey", "SELECT CAST(COUNT(*) AS INTEGER) AS n, CAST(SUM(l_linenumber) AS INTEGER) AS total FROM lineitem, orders WHERE l_orderkey = o_orderkey", mode=COMPAT)
 # mutations
 _change("insert_then_read", "INSERT INTO nation VALUES (100, 'ATLANTIS', 1), (101, 'MU', 2)", "SELECT * FROM nation UNION ALL VALUES (100, 'ATLANTIS', 1), (101, 'MU', 2)")
 _change("insert_partial_null", "INSERT INTO supplier (s_suppkey, s_name) VALUES (1000000, 'new')", "SELECT * FROM supplier UNION ALL SELECT 1000000, 'new', NULL, NULL")

@@ -40,3 +40,9 @@ def test_order_is_kept(spark):
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["seq_scan_filter"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,45.0)" in plan.replace("45)", "45.0)") and "l_comment" not in plan
+
+
+@pytest.mark.parametrize("name", ["theta_join", "cross_join_three", "index_lookup_join", "sum_double", "compat_count"])
+def test_whole_tables_without_id_prefix(name):
+    prefixes = ("s_suppkey <", "o_orderkey <", "o_custkey <")
+    assert not any(x in ORACLES[f"{name}_all"] for x in prefixes)
