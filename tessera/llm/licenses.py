@@ -1,7 +1,7 @@
 """Operator 1: licence scans. DataFrame and SQL functions only.
 
-Every line of a file, and the file as a whole, is compared to licence templates by the cosine of sparse TF-IDF vectors,
-with document frequencies counted over all files. Only lines and files that hold an anchor term can reach the
+Every line of a file, windows of consecutive lines about as long as each template, and the file as a whole are compared
+to licence templates by the cosine of sparse TF-IDF vectors, with document frequencies counted over all files. Only lines and files that hold an anchor term can reach the
 threshold: a template's anchors are its heaviest terms, so many that the rest of its vector is shorter than the
 threshold (Cauchy-Schwarz), so skipping the others loses nothing. A file without a licence of its own inherits that of
 the licence file in its nearest ancestor directory, found by joining each directory's ancestor paths with the
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 TERM = "[a-z0-9]+"
-#: Licence statements by SPDX name, as they stand in headers and at the top of licence files.
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Licence statements, notices, titles and identifiers by SPDX name, as they stand in headers and at the top of licence files.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -38,6 +41,26 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *((name, f"{what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation{mark2} either version {version} of the License, or (at your option) any later version.") for name, what, kind, version, mark, mark2 in (("GPL-2.0", "This program", "General Public License", "2", ";", ";"), ("LGPL-2.1", "This library", "Lesser General Public License", "2.1", ";", ";"), ("LGPL-3.0", "This library", "Lesser General Public License", "3", ":", ","), ("AGPL-3.0", "This program", "Affero General Public License", "3", ":", ","))),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "ISC", "Unlicense")),
+)
+#: Full texts.
+TEXTS = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. {_BSD_1} 2. {_BSD_2} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. {_BSD_1} 2. {_BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_AS_IS}"),
 )
 #: Base names of licence files.
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([-._].*)?$"
@@ -82,11 +105,22 @@ def anchors(vecs: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def license_scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def _windows(lengths: list[int]):
+    """Texts of two or more consecutive lines, from each line on, the longest within each length in terms and the next
+    longer, that hold a line with an anchor; from l (lines that hold a term), held (which hold an anchor), upto (terms up to each line)."""
+    most, sizes = max(lengths), ", ".join(map(str, lengths))
+    terms_in = f"transform(array({sizes}), k -> size(filter(slice(upto, i + 1, {most}), c -> c - element_at(upto, i) <= k)))"
+    widths = f"array_distinct(flatten(transform({terms_in}, w -> array(w, w + 1))))"
+    fits = "w -> w >= 2 and i + w - 1 <= size(l) and exists(slice(held, i, w), x -> x)"
+    starts = f"filter(sequence(1, size(l)), i -> exists(slice(held, i, {most + 1}), x -> x))"
+    return F.expr(f"flatten(transform({starts}, i -> transform(filter({widths}, {fits}), w -> array_join(slice(l, i, w), ' '))))")
+
+
+def license_scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates=TEMPLATES + TEXTS, threshold: float = 0.8) -> DataFrame:
     """(path, license, similarity, how, found_in) for each row of ``files``.
 
-    how: header (a line of the file is a licence statement), file (it is a licence file: by its base name with such a
-    line, or as a whole a licence text), inherited (from found_in, the licence file of the nearest ancestor directory) or
+    how: header (a line or consecutive lines of the file are a licence statement), file (it is a licence file: by its base name with such
+    lines, or as a whole a licence text), inherited (from found_in, the licence file of the nearest ancestor directory) or
     none (license null, similarity 0). The best template wins, ties to the earlier one; of several licence files in a
     directory the most similar, then the least path. Null text: as if empty. Null path: own licence only, nothing to
     inherit. Repeated rows give repeated rows. Other columns are ignored. An empty table gives an empty table.
@@ -102,7 +136,10 @@ def license_scan(files: DataFrame, *, path_col: str = "path", text_col: str = "t
 
     keyed = rows.select("path", F.xxhash64("text").alias("h"), F.lower("text").alias("t"))
     some = keyed.where(F.col("t").rlike(anchor)).dropDuplicates(["path", "h"])
-    parts = some.select("path", "h", F.posexplode(F.concat(F.array("t"), F.split("t", "[\\r\\n]+"))).alias("part", "x")).where(F.col("x").rlike(anchor))
+    lines = some.withColumn("l", F.filter(F.split("t", "[\\r\\n]+"), lambda x: x.rlike(TERM)))
+    lines = lines.withColumn("held", F.transform("l", lambda x: x.rlike(anchor))).withColumn("upto", F.aggregate("l", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)))))))
+    windows = _windows(sorted({sum(terms(x).values()) for _, x in templates}))
+    parts = lines.select("path", "h", F.posexplode(F.concat(F.array("t"), "l", windows)).alias("part", "x")).where(F.col("x").rlike(anchor))
     tf = parts.select("path", "h", "part", F.explode(F.regexp_extract_all("x", F.lit(TERM), F.lit(0))).alias("term")).groupBy("path", "h", "part", "term").count()
     tf = tf.join(F.broadcast(words), "term", "left").select("path", "h", "part", "term", ((1 + F.log("count")) * F.coalesce("idf", F.lit(other))).alias("x"))
     own = Window.partitionBy("path", "h", "part")

@@ -107,6 +107,26 @@ def test_license_inheritance(spark):
     assert got == sorted([("a/LICENSE", "Apache-2.0", "file", "a/LICENSE"), ("a/x.py", "Apache-2.0", "inherited", "a/LICENSE"), ("a/x.py", "Apache-2.0", "inherited", "a/LICENSE"), ("a/b/c/y.py", "MIT", "inherited", "a/b/LICENSE.md"), ("a/b/LICENSE.md", "MIT", "file", "a/b/LICENSE.md"), ("a/b/z.py", "Apache-2.0", "header", "a/b/z.py"), ("d/e.py", "", "none", ""), ("", "MIT", "file", ""), ("", "", "none", ""), ("f/COPYING", "", "none", ""), ("f/g.py", "", "none", "")])
 
 
+@pytest.mark.parametrize("width", [40, 72])
+def test_licenses_wrapped_over_lines(spark, width):
+    """Wrapped comment headers on top of code, full texts under a copyright line, titles."""
+    import textwrap
+
+    code = "\n".join(f"value_{i} = compute_{i}(alpha_{i}, beta_{i})" for i in range(60))
+    texts = {(n, len(t.split())): t for n, t in licenses.TEMPLATES + licenses.TEXTS if len(t.split()) > 15}
+    files, want = [], {}
+    for k, ((name, _), text) in enumerate(sorted(texts.items())):
+        wrapped = textwrap.wrap(text, width)
+        files += [(f"h{k}/x.py", "\n".join(f"# {x}" for x in ["Copyright 2020 Some One", *wrapped]) + "\n\n" + code)]
+        want[files[-1][0]] = name, "header"
+    for k, (title, name) in enumerate([("MIT License", "MIT"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("# SPDX-License-Identifier: MIT", "MIT")]):
+        files.append((f"t{k}/LICENSE", f"{title}\n\nCopyright 2021 The Authors\n{code}"))
+        want[files[-1][0]] = name, "file"
+    files += [(f"c{k}/y.py", code) for k in range(200)]
+    got = {r["path"]: (r["license"], r["how"]) for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: got[p] for p in want} == want and all(got[f"c{k}/y.py"] == (None, "none") for k in range(200))
+
+
 def test_license_cosines_match_brute_force(spark):
     rnd, texts = random.Random(5), []
     for i in range(60):
