@@ -383,23 +383,80 @@ def test_html_large_hosts_are_judged_whole(spark):
 
 
 def test_masks_find_every_overlap_with_a_fifth_replaced():
-    for n in (10, 13, 15):
+    for n in (4, 5, 6, 7, 8, 9, 10, 13, 15):
         for gone in itertools.combinations(range(n), n // 5):
-            assert any(all(p + i not in gone for i, m in enumerate(mask) if m == "1") for mask in decontam.MASKS for p in range(n - len(mask) + 1))
+            assert any(all(p + i not in gone for i, m in enumerate(mask) if m == "1") for mask in decontam.MASKS + decontam.MASKS_OF_5 * (n == 5) for p in range(n - len(mask) + 1))
+
+
+def brute_run(e, percent=80):
+    return max(((j - i, -i) for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i] and e[j - 1] and 100 * sum(e[i:j]) >= percent * (j - i)), default=(0, 0))
 
 
 def test_best_run_against_brute_force():
     rnd = random.Random(9)
-    for _ in range(300):
-        e = np.array([rnd.random() < 0.7 for _ in range(rnd.randrange(1, 25))])
-        best = max((j - i for i in range(len(e) + 1) for j in range(i, len(e) + 1) if 100 * e[i:j].sum() >= 80 * (j - i)), default=0)
-        i, j = decontam.best_run(e, 80)
-        assert 100 * e[i:j].sum() >= 80 * (j - i) and best - 6 <= j - i <= best
+    many = [[rnd.random() < 0.7 for _ in range(rnd.randrange(1, 25))] for _ in range(300)]
+    for e in [[int(x) for x in "110000010111111100100111011111"], [False] * 4, *many]:
+        i, j = decontam.best_run(np.array(e, bool), 80)
+        assert (j - i, -i) == brute_run(e)
+
+
+def brute_leaks(text, item, percent=80):
+    """Overlaps (start, end, item_start, equal) of two word lists."""
+    found = []
+
+    def split(d, lo, hi):  # places of the item
+        e = [text[d + x] == item[x] for x in range(lo, hi)]
+        n, i = brute_run(e, percent)
+        if n >= 10:
+            found.append((d + lo - i, d + lo - i + n, lo - i, sum(e[-i : n - i])))
+            split(d, lo, lo - i)
+            split(d, lo - i + n, hi)
+
+    for d in range(1 - len(item), len(text)):
+        lo, hi = max(0, -d), min(len(item), len(text) - d)
+        if len(item) >= 10:
+            split(d, lo, hi)
+        elif hi - lo == len(item) > 0 and 100 * (n := sum(text[d + x] == item[x] for x in range(hi))) >= percent * len(item):
+            found.append((d, d + len(item), 0, n))
+    best = {}
+    for s, e, at, n in sorted(found, key=lambda x: (-x[3], x[2])):
+        best.setdefault((s, e), (s, e, at, n))
+    return sorted(x for x in best.values() if not any((s, e) != x[:2] and s <= x[0] and x[1] <= e for s, e in best))
+
+
+def test_leaks_against_brute_force(spark):
+    rnd = random.Random(21)
+    word = lambda n: rnd.choice("abcdef"[:n])
+    items = [[word(k) for _ in range(n)] for n, k in [(1, 6), (2, 6), (3, 6), (4, 6), (5, 6), (6, 6), (9, 6), (10, 6), (14, 6), (30, 6), (12, 2), (100, 6)]]
+    texts = [[word(k) for _ in range(rnd.randrange(60))] for k in (6, 6, 6, 4, 2, 2) for _ in range(8)]
+    for x in items * 3:  # altered copies, two pieces of a long item
+        i = rnd.randrange(max(1, len(x) - 60))
+        texts.append(["g", *(w if rnd.random() < 0.85 else "g" for w in x[i : i + 60]), "g", "g"])
+    texts.append([*items[-1][:20], "g", *items[-1][20:40]])
+    df = docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    want = sorted((i, k, *o) for i, t in enumerate(texts) for k, x in enumerate(items) for o in brute_leaks(t, x))
+    got = sorted((r["doc_id"], r["item_id"], r["start_word"], r["end_word"], r["item_start"], r["equal_words"]) for r in decontam.leaks(df, bench).collect())
+    assert got == want and len(want) > 500
+    assert decontam.decontaminate(df, bench).count() == len(texts) - len({i for i, *_ in want})
+    few = [x for x in want if len(items[x[1]]) >= 5]
+    assert len(few) < len(want) == decontam.leaks(df, bench).count() and decontam.leaks(df, bench, least_words=5).count() == len(few)
+
+
+def test_leaks_stated_cases(spark):
+    """A run that trimming would lose, two overlaps of one item, items of five words with a word replaced."""
+    x = [f"i{k}" for k in range(100)]
+    e = "110000010111111100100111011111"
+    five = "alpha beta gamma delta epsilon".split(" ")
+    rows = [(1, " ".join(w if c == "1" else "no" for c, w in zip(e, x, strict=False))), (2, " ".join([*x[:15], *["no"] * 9, *x[20:40]])), *((3 + k, " ".join([*five[:k], "no", *five[k + 1 :]])) for k in range(5))]
+    bench = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(five))], "item_id bigint, text string")
+    got = Counter(r["doc_id"] for r in decontam.leaks(docs(spark, rows), bench).collect())
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
 
 
 def test_leaks(spark, hard):
     rnd = random.Random(6)
-    items = [(k, prose(rnd, 14 + 3 * k)) for k in range(10)] + [(98, "the of"), (99, None)]
+    items = [(k, prose(rnd, 14 + 3 * k)) for k in range(10)] + [(98, "absent words"), (99, None)]
     rows, want = [], set()
     for i in range(60):
         w = prose(rnd, 80).split()
