@@ -65,6 +65,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def let(value, of):
+    """``of(value)`` for a column, the value worked out once however often ``of`` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -1,15 +1,16 @@
 """Operator 1: licence scans. DataFrame and SQL functions only.
 
 Every line of a file, windows of consecutive lines about as long as each template, and the file as a whole are compared
-to licence templates by the cosine of sparse TF-IDF vectors, with document frequencies counted over all files. Only lines and files that hold an anchor term can reach the
-threshold: a template's anchors are its heaviest terms, so many that the rest of its vector is shorter than the
-threshold (Cauchy-Schwarz), so skipping the others loses nothing. A file without a licence of its own inherits that of
-the licence file in its nearest ancestor directory, found by joining each directory's ancestor paths with the
-directories that hold one.
+to licence templates by the cosine of sparse TF-IDF vectors, with document frequencies counted over all files. A text
+reaches the threshold t with a template only if the template's terms that it holds have t squared of the template's
+squared length (Cauchy-Schwarz), so files and windows that hold less are left out and nothing is lost. A file without a
+licence of its own inherits that of the licence file in its nearest ancestor directory, found by joining each
+directory's ancestor paths with the directories that hold one.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -17,7 +18,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import let, materialise, partitions, table
 
 TERM = "[a-z0-9]+"
 _BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -93,27 +94,17 @@ def vectors(templates, n: int, df: dict[str, int]) -> tuple[list[dict[str, float
     return out, {t: idf(t) for v in out for t in v}, math.log(n + 1) + 1
 
 
-def anchors(vecs: list[dict[str, float]], threshold: float) -> list[str]:
-    out: set[str] = set()
-    for v in vecs:
-        left = 1.0
-        for t, x in sorted(v.items(), key=lambda tx: (-tx[1], tx[0])):
-            if left < threshold * threshold * (1 - 1e-9):
-                break
-            out.add(t)
-            left -= x * x
-    return sorted(out)
+def _literal(values: list, kind: str):
+    """A literal array column; ``kind`` is the type of its elements."""
+    return F.expr(f"from_json('{json.dumps(values)}', 'array<{kind}>')")  # terms are [a-z0-9]+
 
 
-def _windows(lengths: list[int]):
-    """Texts of two or more consecutive lines, from each line on, the longest within each length in terms and the next
-    longer, that hold a line with an anchor; from l (lines that hold a term), held (which hold an anchor), upto (terms up to each line)."""
-    most, sizes = max(lengths), ", ".join(map(str, lengths))
-    terms_in = f"transform(array({sizes}), k -> size(filter(slice(upto, i + 1, {most}), c -> c - element_at(upto, i) <= k)))"
-    widths = f"array_distinct(flatten(transform({terms_in}, w -> array(w, w + 1))))"
-    fits = "w -> w >= 2 and i + w - 1 <= size(l) and exists(slice(held, i, w), x -> x)"
-    starts = f"filter(sequence(1, size(l)), i -> exists(slice(held, i, {most + 1}), x -> x))"
-    return F.expr(f"flatten(transform({starts}, i -> transform(filter({widths}, {fits}), w -> array_join(slice(l, i, w), ' '))))")
+def _mass(words, squares, template):
+    """The sum of the squared weights of a template's terms that are among ``words``: no vector with those terms alone
+    has a cosine over its root (Cauchy-Schwarz)."""
+    own = F.element_at(squares, template + 1)
+    of = lambda held: F.aggregate(F.filter(own, lambda x: F.array_contains(held, x["term"])), F.lit(0.0), lambda a, x: a + x["w2"])
+    return let(F.array_intersect(own["term"], words), of)
 
 
 def license_scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates=TEMPLATES + TEXTS, threshold: float = 0.8) -> DataFrame:
@@ -132,23 +123,37 @@ def license_scan(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     vecs, idf, other = vectors(templates, n, df)
     words = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     weights = spark.createDataFrame([(t, i, x) for i, v in enumerate(vecs) for t, x in sorted(v.items())], "term string, template int, w double")
-    anchor = rf"(?<![a-z0-9])({'|'.join(anchors(vecs, threshold))})(?![a-z0-9])"
+    squares = _literal([[{"term": t, "w2": x * x} for t, x in sorted(v.items())] for v in vecs], "array<struct<term:string,w2:double>>")
+    enough, words_of = threshold * threshold * (1 - 1e-9), lambda c: F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
 
+    # files that hold enough of a template's terms, with those templates
     keyed = rows.select("path", F.xxhash64("text").alias("h"), F.lower("text").alias("t"))
-    some = keyed.where(F.col("t").rlike(anchor)).dropDuplicates(["path", "h"])
-    lines = some.withColumn("l", F.filter(F.split("t", "[\\r\\n]+"), lambda x: x.rlike(TERM)))
-    lines = lines.withColumn("held", F.transform("l", lambda x: x.rlike(anchor))).withColumn("upto", F.aggregate("l", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)))))))
-    windows = _windows(sorted({sum(terms(x).values()) for _, x in templates}))
-    parts = lines.select("path", "h", F.posexplode(F.concat(F.array("t"), "l", windows)).alias("part", "x")).where(F.col("x").rlike(anchor))
-    tf = parts.select("path", "h", "part", F.explode(F.regexp_extract_all("x", F.lit(TERM), F.lit(0))).alias("term")).groupBy("path", "h", "part", "term").count()
-    tf = tf.join(F.broadcast(words), "term", "left").select("path", "h", "part", "term", ((1 + F.log("count")) * F.coalesce("idf", F.lit(other))).alias("x"))
-    own = Window.partitionBy("path", "h", "part")
-    tf = tf.withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(own)))
-    cos = tf.join(F.broadcast(weights), "term").groupBy("path", "h", "part", "template", "norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))  # both sides come from the templates
-    cos = cos.select("path", "h", "part", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cos")).where(F.col("cos") >= threshold)
-    best = cos.groupBy("path", "h").agg(F.max(F.struct("cos", -F.col("template"))).alias("b"), F.max((F.col("part") == 0)).alias("whole"))
+    have = F.array_intersect(words_of(F.col("t")), F.array(*map(F.lit, vocabulary)))
+    likely = let(have, lambda held: F.filter(F.sequence(F.lit(0), F.lit(len(vecs) - 1)), lambda i: _mass(held, squares, i) >= enough))
+    some = materialise(keyed.withColumn("templates", likely).where(F.size("templates") > 0).select("path", "h", "t", "templates")).repartition(partitions(spark), "path", "h").dropDuplicates(["path", "h"])
+    # a row for each line and template: the terms that it starts after, and how much of the template it holds
+    lines = some.select("path", "h", "templates", F.posexplode(F.split("t", "[\\r\\n]+")).alias("i", "l")).withColumn("w", words_of(F.col("l"))).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    file = Window.partitionBy("path", "h").orderBy("i")
+    lines = lines.withColumn("s", F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, -1))).withColumn("s", F.coalesce("s", F.lit(0).cast("bigint")))
+    lines = lines.select("path", "h", "s", "n", "w", F.explode("templates").alias("template")).withColumn("m", _mass(F.col("w"), squares, F.col("template")))
+    # from each line on, the lines that start within the template's length: the longest window within it and the next longer
+    length = F.element_at(F.array(*(F.lit(sum(terms(x).values())) for _, x in templates)), F.col("template") + 1)
+    ahead = Window.partitionBy("path", "h", "template").orderBy(F.col("s") / length * 1_000_000).rangeBetween(0, 1_000_001)  # rounding apart
+    lines = lines.withColumn("all", F.sum("m").over(ahead)).withColumn("ahead", F.collect_list(F.struct("s", "n", "w")).over(ahead)).where((F.col("m") > 0) & (F.col("all") >= enough))
+    within = F.filter("ahead", lambda x: x["s"] + x["n"] - F.col("s") <= length)
+    text = lambda a: F.flatten(F.transform(a, lambda x: x["w"]))
+    spans = F.array_distinct(F.array(F.lit(1), F.size(within), F.size("ahead")))
+    windows = lines.select("path", "h", "template", "s", "ahead", F.explode(spans).alias("size")).where("size > 0")
+    windows = windows.select("path", "h", "template", F.concat_ws(" ", "s", "size").alias("part"), text(F.slice("ahead", F.lit(1), F.col("size"))).alias("w"))
+    whole = some.select("path", "h", F.explode("templates").alias("template"), F.lit("").alias("part"), words_of(F.col("t")).alias("w"))
+    parts = windows.where(_mass(F.col("w"), squares, F.col("template")) >= enough).union(whole)
+    key = ["path", "h", "template", "part"]
+    tf = parts.select(*key, F.explode("w").alias("term")).groupBy(*key, "term").count()
+    tf = tf.join(F.broadcast(words), "term", "left").join(F.broadcast(weights), ["term", "template"], "left").select(*key, ((1 + F.log("count")) * F.coalesce("idf", F.lit(other))).alias("x"), "w")  # both come from the templates
+    cos = tf.groupBy(*key).agg(F.round(F.sum(F.col("x") * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 9).alias("cos")).where(F.col("cos") >= threshold)
+    best = cos.groupBy("path", "h").agg(F.max(F.struct("cos", -F.col("template"))).alias("b"), F.max((F.col("part") == "")).alias("whole"))
     names = F.array(*(F.lit(k) for k, _ in templates))
-    hits = best.select("path", "h", F.element_at(names, 1 - F.col("b.col2")).alias("license"), F.col("b.cos").alias("similarity"), (F.col("whole") | F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).alias("is_file"))
+    hits = materialise(best.select("path", "h", F.element_at(names, 1 - F.col("b.col2")).alias("license"), F.col("b.cos").alias("similarity"), (F.col("whole") | F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).alias("is_file")))
 
     folder = lambda c: F.regexp_replace(F.regexp_extract(c, "^(.*)/[^/]*$", 1), "/+", "/")
     first = F.min(F.struct((-F.col("similarity")).alias("k"), F.col("path").alias("found_in"), "license")).alias("first")
