@@ -4,7 +4,8 @@ Targets: sources share all words by weight; none goes over ``cap`` times its siz
 weight (water filling over the table of sources). Each source's documents form a ring in hash order, and the mix takes
 its target in words from the start of the ring, going round as often as needed and cutting the last document. A source's
 weight changes over training time t in [0, 1] as target * (1 + slope * (1 - 2t)); its integral, the demand up to t, is
-inverted for each document's first word to place it in training, and documents are range-sorted by that position.
+inverted for the first word of each round of a document to place it in training, and documents are range-sorted by the
+first of these positions (``passes`` has a row for each).
 Running sums are taken within hash buckets of a source and over the buckets, so a hot source is spread over tasks.
 """
 
@@ -39,17 +40,19 @@ def _targets(sources: DataFrame, weights: tuple, slopes: tuple, cap: int) -> Dat
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, cap: int = 3, keep: tuple = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position, passes) and the ``keep`` columns, sorted by position.
+    """(doc_id, size, source_size, target, taken, position, passes, positions) and the ``keep`` columns, sorted by position.
 
     size: words of the text, null 0. target: the source's, in words; taken: the words that the mix takes of the document,
-    repeats counted; a source's sum is its target rounded. position in [0, 1): of its first word; passes: how many times
-    the document is begun; both null / 0 for what is not taken, which comes last. The null source is a source, the last
-    one. Null and repeated ids: order in the ring falls to the next key (id, size), rows equal in all have
-    interchangeable places. No words at all: targets 0, nothing taken. An empty table gives an empty table. Reruns agree.
+    repeats counted; a source's sum is its target rounded. passes: how many times the document is begun; positions: where
+    in [0, 1) each pass begins, in order; position: the first of them. What is not taken has position null, no passes and
+    comes last. A made column whose name is also a kept one's is called mix_ and its name. The null source is a source,
+    the last one. The order in a ring is by a hash of id and text, then id and size; rows equal in all have
+    interchangeable places. Null and empty texts, and so tables without any word: targets 0, nothing taken. An empty
+    table gives an empty table. Reruns agree.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source_"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    rows = rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("hash", 1, DIGITS))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source_"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.md5(text.cast("binary")).alias("text_"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = rows.withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text_").cast("binary"))).withColumn("bucket", F.substring("hash", 1, DIGITS)).drop("text_")
     buckets = rows.groupBy("source_", "bucket").agg(F.sum("size").alias("words"))
     sources = buckets.groupBy(F.col("source_").alias("source")).agg(F.sum("words").alias("source_size"))
     upto = Window.partitionBy("source_").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,19 +68,33 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rest = F.col("demand") - F.col("rounds") * F.col("source_size") - F.col("before")
     out = out.withColumn("part", F.least(F.greatest(rest, F.lit(0).cast("bigint")), F.col("size")))
     out = out.withColumn("taken", F.col("rounds") * F.col("size") + F.col("part"))
-    u, a = F.col("before") / F.col("demand"), F.col("slope")
-    when = F.when(a == 0, u).otherwise(((1 + a) - F.sqrt((1 + a) * (1 + a) - 4 * a * u)) / (2 * a))
-    out = out.withColumn("position", F.when(F.col("taken") > 0, when)).withColumn("passes", F.when(F.col("size") > 0, F.col("rounds") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0).cast("bigint"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", "size", "source_size", "target", "taken", "position", "passes", *(F.col(f"kept_{c}").alias(c) for c in keep))
+    out = out.withColumn("passes", F.when(F.col("size") > 0, F.col("rounds") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0).cast("bigint"))
+
+    def when(k):  # the demand up to the k-th pass, as a share, inverted
+        u, a = (F.col("before") + k * F.col("source_size")) / F.col("demand"), F.col("slope")
+        return F.when(a == 0, u).otherwise(((1 + a) - F.sqrt((1 + a) * (1 + a) - 4 * a * u)) / (2 * a))
+
+    out = out.withColumn("positions", F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1), when)).otherwise(F.array().cast("array<double>")))
+    out = out.withColumn("position", F.get("positions", F.lit(0)))
+    made = ("size", "source_size", "target", "taken", "position", "passes", "positions")
+    named = [F.col(c).alias(c if c not in keep else f"mix_{c}") for c in made]
+    return out.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", *named, *(F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"))
+
+
+def passes(mixed: DataFrame) -> DataFrame:
+    """A row for each pass of each document that ``mix`` takes, range-sorted by ``at``, where in training it begins; with
+    ``pass``, from 0, and all columns of ``mixed`` but positions."""
+    return mixed.select(*(c for c in mixed.columns if c != "positions"), F.posexplode("positions").alias("pass", "at")).orderBy("at", "doc_id", "pass")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's mix of the whole ``documents`` table."""
-    return mix(table(spark, sf_dir, "documents"))
+    """The contract's mix of the whole ``documents`` table; position_2 and position_3 are those of further passes."""
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", "passes", *(F.get("positions", F.lit(k - 1)).alias(f"position_{k}") for k in (2, 3)))  # no document exceeds three times its size
 
 
 ORACLE = r"""
-WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS hash FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM r GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS weight, CAST([0.5, 0.0, -0.5][place % 3 + 1] AS DOUBLE) AS slope, CAST(source_size * 3 AS DOUBLE) AS most FROM s),
 v AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(most) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS share
@@ -89,8 +106,11 @@ d AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.slope, CAST(round(t.ta
   FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, demand // greatest(source_size, 1) AS rounds FROM d),
 g AS (SELECT *, least(greatest(demand - rounds * source_size - before, 0), size) AS part FROM f),
-h AS (SELECT *, rounds * size + part AS taken, CAST(before AS DOUBLE) / CAST(demand AS DOUBLE) AS u FROM g)
+h AS (SELECT *, rounds * size + part AS taken, CASE WHEN size > 0 THEN rounds + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS passes FROM g),
+k AS (SELECT *, CAST(before AS DOUBLE) / CAST(demand AS DOUBLE) AS u1, CAST(before + source_size AS DOUBLE) / CAST(demand AS DOUBLE) AS u2, CAST(before + 2 * source_size AS DOUBLE) / CAST(demand AS DOUBLE) AS u3 FROM h)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-  CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN u ELSE ((1 + slope) - sqrt((1 + slope) * (1 + slope) - 4 * slope * u)) / (2 * slope) END END AS position,
-  CAST(CASE WHEN size > 0 THEN rounds + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS passes FROM h
+  CASE WHEN passes > 0 THEN CASE WHEN slope = 0 THEN u1 ELSE ((1 + slope) - sqrt((1 + slope) * (1 + slope) - 4 * slope * u1)) / (2 * slope) END END AS position,
+  CAST(passes AS BIGINT) AS passes,
+  CASE WHEN passes > 1 THEN CASE WHEN slope = 0 THEN u2 ELSE ((1 + slope) - sqrt((1 + slope) * (1 + slope) - 4 * slope * u2)) / (2 * slope) END END AS position_2,
+  CASE WHEN passes > 2 THEN CASE WHEN slope = 0 THEN u3 ELSE ((1 + slope) - sqrt((1 + slope) * (1 + slope) - 4 * slope * u3)) / (2 * slope) END END AS position_3 FROM k
 """

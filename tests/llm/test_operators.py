@@ -365,6 +365,27 @@ def test_mix(spark, hard):
     assert sorted(map(repr, mixture.mix(df).collect())) == sorted(map(repr, mixture.mix(df.repartition(7)).collect()))
 
 
+def test_every_tenth_of_training_follows_the_schedule(spark):
+    """Words placed in each tenth, against the integral of the source's weight over it; sources with several passes too."""
+    rnd = random.Random(4)
+    sizes = {"a": 60, "b": 400, "c": 100, "d": 90, "e": 500, "f": 100}
+    rows = [(s, i) for s, n in sizes.items() for i in range(n)]
+    df = docs(spark, [(k, prose(rnd, rnd.randrange(1, 30))) for k in range(len(rows))], sources=[s for s, _ in rows])
+    mixed = mixture.mix(df, keep=("source", "size", "key"))
+    assert mixed.columns == ["doc_id", "mix_size", "source_size", "target", "taken", "position", "passes", "positions", "source", "size", "key"]
+    got = mixture.passes(mixed).collect()
+    assert [r["at"] for r in got] == sorted(r["at"] for r in got)
+    for place, s in enumerate(sizes):
+        slope, mine = (0.5, 0.0, -0.5)[place % 3], [r for r in got if r["source"] == s]
+        target = mine[0]["target"]
+        assert max(r["pass"] for r in mine) == -(-round(target) // mine[0]["source_size"]) - 1 or target < mine[0]["source_size"]
+        for k in range(10):
+            lo, hi = k / 10, (k + 1) / 10
+            want = target * ((hi + slope * (hi - hi * hi)) - (lo + slope * (lo - lo * lo)))
+            assert abs(sum(r["mix_size"] for r in mine if lo <= r["at"] < hi) - want) <= 60  # two documents' words
+    assert all(len(r["positions"]) == r["passes"] and r["position"] == (r["positions"] or [None])[0] for r in mixed.collect())
+
+
 # --- 6 ---
 
 
