@@ -30,9 +30,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with what the mix takes of each and its place in training, in that order; what it leaves out is last."""
-    made = ("doc_id", "size", "source_size", "target", "taken", "position", "passes")
-    return mixture.mix(docs, keep=tuple(c for c in docs.columns if c not in made))
+    """All rows and columns, with what the mix takes of each and its places in training, sorted by the first of them; what
+    it leaves out is last. Made columns whose names the input has already are called mix_ and the name. Null and empty
+    texts are not taken; the null source is a source; repeated rows have places of their own."""
+    return mixture.mix(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_recurring_lines), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_leaks), ("mixing sources to target weights", mix)]
