@@ -399,6 +399,18 @@ def test_every_tenth_of_training_follows_the_schedule(spark):
         ("", ""),
         ("plain", "plain"),
         ("<article></article>", ""),
+        ('<article><p class="notice">x<p>main one</p><p>two</article>', "main one two"),
+        ('<article><ul><li class="share">share<ul><li>x</ul>more<li>item<li>next</ul><p>end</article>', "item next end"),
+        ("<article><table><tr><td class=ad>a<td>b<tr><td>c</table><p>d</article>", "b c d"),
+        ('<article><p title="x>hello', "hello"),
+        ('<body><div role="main"><p>a</p></div><p>after</p>', "a"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <label>so</label> on</p></article>", "if x=1 and so on"),
+        ('<article><p class="related-work">kept</p><p class="side-note">too</p><div class="related-posts">r</div><div id="side-bar">s</div><div class="x cookie-notice">c</div></article>', "kept too"),
+        ("<article><div><p>a</div></div><p>b</article><div>c</div>", "a b"),
+        ("<head><title>t</title><p>no end of head<nav>m<p>n</nav>b", "no end of head b"),
+        ("<article><nav>never closed</article><article>second</article>", "second"),
+        ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + " end</article>", "deep end"),
+        ("<article>" + "x" * 300_000 + " " + "y " * 100_000 + "</article>", "x" * 300_000 + " " + " ".join("y" * 100_000)),
     ],
 )
 def test_html_markup(page, text):
