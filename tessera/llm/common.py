@@ -70,6 +70,13 @@ def let(value, of):
     return F.element_at(F.transform(F.array(value), of), 1)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

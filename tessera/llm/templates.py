@@ -2,11 +2,16 @@
 
 A line's path in the tree is its number of tokens and its leading tokens, with tokens that hold a digit as ``<*>``. In a
 leaf, a position at which more than MAX_CHILDREN tokens occur is a variable field too, as long as the line keeps most of
-its tokens (tokens that hold a digit need only one word beside them); the line with its variable fields as ``<*>`` is its template. A template that recurs in many documents is
-boilerplate and its lines are dropped. Copies of a document are not many documents: carriers are told apart by two cores,
-the least hashes of the shingles of their other lines, which copies share. Near copies differ in a core now and then
-(in one of five at 80 % of common shingles), so either the distinct cores must be more than that of the distinct texts,
-or enough carriers must share neither core with another. Rows that repeat a text add nothing to either side.
+its tokens (tokens that hold a digit need only one word beside them); the line with its variable fields as ``<*>`` is its
+template. A template that recurs in many documents is boilerplate and its lines are dropped.
+
+Copies of a document are one document. A carrier has SEEDS cores, least hashes of the shingles of its other lines, which
+copies share; near copies differ in a core now and then (in one of five at 80 % of common shingles), and other documents
+share one where it lies in boilerplate. A template has enough distinct documents by any of three measures, which copies
+neither reach nor spoil: the effective number of its cores (one over the sum of squared shares, as for species: a group
+of near copies counts about one and a half, many groups count each); its roots, carriers that are the first to have each
+of their cores, less CHANCE times those that near copies alone let expect; or its distinct cores, if they are more in
+number and in proportion to its carriers than near copies have.
 
 The statistics of a leaf are sums that combine in any order, so no leaf is gathered anywhere.
 """
@@ -23,17 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, bounded_broadcast, materialise, mix, slices, table
+from tessera.llm.common import Words, bounded_broadcast, materialise, mix, slices, table, unused
 
 FIELD = "<*>"
 DEPTH, MAX_CHILDREN, KEEP = 3, 8, 0.6
-#: Documents that a template needs and tokens of a line.
-MIN_DOCS, MIN_TOKENS = 10, 2
-#: Distinct carriers of the documents needed; distinct cores of a carrier's distinct texts (near copies have a fifth) or
-#: carriers that share neither core, of those that differ in one (near copies have a ninth).
-OWN, CORES, APART = 0.5, 0.25, 1 / 6
+#: Distinct documents that a template needs, from LONG tokens on LONG_DOCS; least tokens of a line.
+MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS = 10, 20, 3, 2
+#: Cores of a carrier, two to a column; how often expected chance roots are taken off; distinct cores of all carriers.
+SEEDS, CHANCE, CORES = 6, 3.0, 0.25
 #: Templates whose carriers are compared, broadcast at most.
 CANDIDATES = 1_000_000
+#: Ways that a common line is split where the named lines are too many to broadcast.
+SALTS = 16
 #: Dropped lines' hashes broadcast at most (8 bytes each); beyond it each document gets its own list by a join.
 BROADCAST = 2_000_000
 _VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
@@ -68,8 +74,8 @@ def doc_key(doc_id, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=(doc_id or 0) & 0xFFFFFFFFFFFFFFFF))
 
 
-def _cores(lines: list[str]) -> tuple[list[int | None], list[int | None]]:
-    """Two hashes of each line, each the least of its shingles of five words, mixed so that a long line has no advantage."""
+def _least(lines: list[str]) -> np.ndarray:
+    """SEEDS hashes of each line, each the least of its shingles of five words; the greatest for a line without words."""
     w = Words(pa.array(lines, pa.string()))
     h, n = w.hashes(), np.diff(w.starts)
     full = np.flatnonzero(n)
@@ -82,84 +88,101 @@ def _cores(lines: list[str]) -> tuple[list[int | None], list[int | None]]:
                 same = line[:m] == line[i:]  # shingles end with their line
                 x[:m] = np.where(same, mix(x[:m] * np.uint64(0x100000001B3) ^ h[i:]), x[:m])
     tail = np.arange(len(h)) > np.maximum(w.starts[1:] - 5, w.starts[:-1])[line]
-    out = []
-    for seed in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15)):
-        least = np.full(len(n), None, object)
-        if len(full):
-            y = mix(x ^ seed)
-            y[tail] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            least[full] = mix(np.minimum.reduceat(y, w.starts[full])).view(np.int64)
-        out.append(least.tolist())
-    return out[0], out[1]
+    out = np.full((SEEDS, len(n)), _MOST)
+    for seed in range(SEEDS if len(full) else 0):
+        with np.errstate(over="ignore"):
+            y = mix(x * np.uint64(2 * seed + 0x9E3779B97F4A7C15))
+        y[tail] = _MOST
+        out[seed, full] = np.minimum.reduceat(y, w.starts[full])
+    return out
+
 
+def _cores(least: np.ndarray, leaf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document (its lines from ``starts`` on) and seed: the least hash, its leaf, and the least of another leaf's
+    lines, else the first. So what a line judged has left of the document is one of the two."""
+    first = np.minimum.reduceat(least, starts, axis=1)
+    n = np.diff(np.append(starts, least.shape[1]))
+    at_first = least == np.repeat(first, n, axis=1)
+    of = np.minimum.reduceat(np.where(at_first, leaf, np.iinfo(np.int64).max), starts, axis=1)
+    second = np.minimum.reduceat(np.where(leaf == np.repeat(of, n, axis=1), _MOST, least), starts, axis=1)
+    return first, of, np.where(second == _MOST, first, second)
 
-def _two(found: list[tuple[int, int]]) -> tuple[int, int | None, int]:
-    """(the least hash, its leaf, the least hash of another leaf or else the first)."""
-    if not found:
-        return 0, None, 0
-    first, leaf = min(found)
-    return first, leaf, min((c for c, x in found if x != leaf), default=first)
+
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CORES = [f"c{i}" for i in range(SEEDS // 2)]
 
 
 def _lines(depth: int, min_tokens: int, with_text: bool):
-    names = ["doc", *["core", "core2", "copy"] * (not with_text), "leaf", "line", *["masked"] * with_text]
+    names = ["doc", "leaf", "line", "masked"] if with_text else ["doc", "leaf", "line", "tokens", "copy", *_CORES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 4 << 20):
             texts = [t or "" for t in b.column(1).to_pylist()]
+            if not texts:
+                continue
             split = [t.split("\n") for t in texts]
-            cores = ([], []) if with_text else _cores([x for s in split for x in s])
-            known: dict[str, tuple[int, int]] = {}
-            rows, at = [], 0
-            for doc, text, lines in zip(b.column(0).to_pylist(), texts, split, strict=True):
-                key, seen, judged = doc_key(doc, text), set(), []
-                found: tuple[list, list] = [], []
-                for i, line in enumerate(lines, at):
+            known: dict[str, tuple[int, int, int]] = {}
+            leaves, rows = [], []  # the leaf of every line; (document, key, leaf, line, tokens or text) of those judged
+            for d, (doc, text, lines) in enumerate(zip(b.column(0).to_pylist(), texts, split, strict=True)):
+                key, seen = doc_key(doc, text), set()
+                for line in lines:
                     m = masked(line)
                     if (got := known.get(m)) is None:
-                        got = known[m] = leaf_hash(m, depth), line_hash(m)
-                    if not with_text and cores[0][i] is not None:
-                        for f, c in zip(found, cores, strict=True):
-                            f.append((c[i], got[0]))
-                    if m in seen or m.count(" ") + 1 < min_tokens:
-                        continue
-                    seen.add(m)
-                    judged.append((*got, m))
-                at += len(lines)
-                if with_text:
-                    rows += [(key, *j) for j in judged]
-                else:
-                    two, copy = [_two(f) for f in found], line_hash(text)
-                    rows += [(key, *(second if leaf == own else first for first, own, second in two), copy, leaf, line) for leaf, line, _ in judged]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "masked" else pa.int64()) for k, c in zip(names, cols, strict=True)], names=names)
+                        got = known[m] = leaf_hash(m, depth), line_hash(m), m.count(" ") + 1
+                    leaves.append(got[0])
+                    if m not in seen and got[2] >= min_tokens:
+                        seen.add(m)
+                        rows.append((d, key, got[0], got[1], m if with_text else got[2]))
+            of, key, leaf, line, last = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            cols = [pa.array(key, pa.int64()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(last, pa.string() if with_text else pa.int64())]
+            if not with_text:
+                at, mine = np.array(of, np.int64), np.array(leaf, np.int64)
+                starts = np.cumsum([0, *map(len, split)])[:-1]
+                first, own, second = _cores(_least([x for s in split for x in s]), np.array(leaves, np.int64), starts)
+                core = np.where(own[:, at] == mine, second[:, at], first[:, at]) >> np.uint64(32)
+                cols.append(pa.array(np.array([line_hash(t) for t in texts], np.int64)[at]))
+                cols += [pa.array((core[i] << np.uint64(32) | core[i + 1]).view(np.int64)) for i in range(0, SEEDS, 2)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def recurring(docs: DataFrame, *, depth: int = DEPTH, max_children: int = MAX_CHILDREN, keep: float = KEEP, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, own: float = OWN, cores: float = CORES, apart: float = APART) -> tuple[DataFrame, DataFrame]:
-    """(lines by document: doc, core, core2, copy, leaf, line; recurring ones: line, template, docs), from ``docs`` (doc_id, text)."""
+def recurring(docs: DataFrame, *, depth: int = DEPTH, max_children: int = MAX_CHILDREN, keep: float = KEEP, min_docs: int = MIN_DOCS, long: int = LONG, long_docs: int = LONG_DOCS, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(lines by document: doc, leaf, line, tokens, copy, cores; recurring ones: line, template, docs), from ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = rows.mapInArrow(_lines(depth, min_tokens, False), "doc bigint, core bigint, core2 bigint, copy bigint, leaf bigint, line bigint")
-    by_line = materialise(lines.groupBy("leaf", "line", "core", "core2", "copy").agg(F.count("*").alias("n")))  # a row for each line and carrier
-    leaves = by_line.groupBy("leaf").agg(F.sum("n").alias("n"), F.min("line").alias("a"), F.max("line").alias("b")).where(F.col("n") >= min_docs).where("a <> b").select("leaf")
+    lines = rows.mapInArrow(_lines(depth, min_tokens, False), ", ".join(f"{c} bigint" for c in ["doc", "leaf", "line", "tokens", "copy", *_CORES]))
+    by_line = materialise(lines.groupBy("leaf", "line", "tokens", "copy", *_CORES).agg(F.count("*").alias("n")))  # a row for each line and distinct carrier
+    fewest = F.when(F.col("tokens") >= long, min(min_docs, long_docs)).otherwise(min_docs)
+    leaves = by_line.groupBy("leaf", "tokens").agg(F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b")).where(F.col("n") >= fewest).where("a <> b").select("leaf")
     leaves = materialise(leaves)
-    texts = rows.mapInArrow(_lines(depth, min_tokens, True), "doc bigint, leaf bigint, line bigint, masked string").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    texts = rows.mapInArrow(_lines(depth, min_tokens, True), "doc bigint, leaf bigint, line bigint, masked string").join(bounded_broadcast(leaves, BROADCAST), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     texts = materialise(texts)
     tokens = texts.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     wide = tokens.where(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).groupBy("leaf", "at").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).groupBy("leaf").agg(F.sort_array(F.collect_set("at")).alias("fields"))  # at most a row's positions
     named = texts.join(wide, "leaf").withColumn("t", F.expr(f"transform(split(masked, ' '), (x, i) -> if(array_contains(fields, i), '{FIELD}', x))"))
-    named = named.where(F.expr(f"size(filter(t, x -> x <> '{FIELD}')) >= {keep} * size(t)")).select(F.col("line").alias("l"), F.xxhash64("leaf", F.array_join("t", " ")).alias("named"))
-    known = by_line.join(named, by_line.line == named.l, "left").select("line", F.coalesce("named", "line").alias("template"), "core", "core2", "copy", "n")
-    carriers = known.groupBy("template", "core", "core2", "copy").agg(F.sum("n").alias("n"))
-    count = carriers.groupBy("template").agg(F.sum("n").alias("docs"), F.count("*").alias("texts"))
-    often = materialise(count.where((F.col("docs") >= min_docs) & (F.col("texts") >= min_docs * own)))
-    some = carriers.join(bounded_broadcast(often.select("template"), CANDIDATES), "template", "left_semi").select("template", "core", "core2").distinct()
-    side = lambda a, b: some.groupBy("template", a).agg(F.count("*").alias("m"), F.min(b).alias(b)).select("template", "core", "core2", "m", F.lit(a).alias("by"))
-    both = side("core", "core2").unionAll(side("core2", "core")).groupBy("template", "core", "core2").agg(F.count_if(F.col("m") == 1).alias("alone"), F.count_if(F.col("by") == "core").alias("a"), F.count_if(F.col("by") == "core2").alias("b"), F.sum(F.when(F.col("by") == "core", F.col("m"))).alias("m"))
-    told = both.groupBy("template").agg(F.count_if(F.col("alone") == 2).alias("apart"), F.greatest(F.sum("a"), F.sum("b")).alias("cores"), F.sum("m").alias("differ"))
-    least = F.lit(min_docs * own)
-    often = often.join(told, "template").where((F.col("cores") >= F.greatest(least, F.col("texts") * cores)) | (F.col("apart") >= F.greatest(least, F.col("differ") * apart)))
+    named = materialise(named.where(F.expr(f"size(filter(t, x -> x <> '{FIELD}')) >= {keep} * size(t)")).select(F.col("line").alias("l"), F.xxhash64("leaf", F.array_join("t", " ")).alias("named")))
+    # a common line has a row a carrier: the few named lines go out whole, or, where they are many, once for each salt
+    if named.limit(CANDIDATES + 1).count() <= CANDIDATES:
+        known = by_line.join(F.broadcast(named), by_line.line == named.l, "left")
+    else:
+        salted = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        known = by_line.join(salted, (by_line.line == salted.l) & (F.pmod(by_line.copy, F.lit(SALTS)) == salted.salt), "left")
+    known = known.select("line", F.coalesce("named", "line").alias("template"), "tokens", "copy", *_CORES, "n")
+    carriers = known.groupBy("template", "tokens", "copy", *_CORES).agg(F.sum("n").alias("n"))
+    often = materialise(carriers.groupBy("template", "tokens").agg(F.sum("n").alias("docs"), F.count("*").alias("texts")).where(F.col("texts") >= fewest))
+    some = carriers.join(bounded_broadcast(often.select("template"), CANDIDATES), "template", "left_semi")
+    each = F.array(*(x for c in _CORES for x in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(0xFFFFFFFF))))
+    held = some.select("template", F.col("copy").alias("who"), F.posexplode(each).alias("seed", "core"))
+    groups = held.groupBy("template", "seed", "core").agg(F.min("who").alias("who"), F.count("*").alias("m"))
+    alone = [F.count_if((F.col("seed") == i) & (F.col("m") == 1)).alias(f"a{i}") for i in range(SEEDS)]
+    tops = groups.groupBy("template", "who").agg(F.count("*").alias("k"), F.sum(F.col("m").cast("double") * F.col("m")).alias("squares"), *alone)
+    told = tops.groupBy("template").agg(F.count_if(F.col("k") == SEEDS).alias("roots"), F.sum("k").alias("kinds"), F.sum("squares").alias("squares"), *(F.sum(f"a{i}").alias(f"a{i}") for i in range(SEEDS)))
+    chance = F.col("texts").cast("double")
+    for i in range(SEEDS):
+        chance = chance * F.col(f"a{i}") / F.col("texts")
+    effective = F.col("texts").cast("double") * F.col("texts") * SEEDS / F.col("squares")
+    distinct = F.col("kinds") / SEEDS >= F.greatest(F.lit(float(min_docs)), CORES * F.col("texts"))
+    often = often.join(told, "template").where((effective >= fewest) | (F.col("roots") - CHANCE * chance >= fewest) | distinct)
     return lines, known.select("line", "template").distinct().join(often.select("template", "docs"), "template")
 
 
@@ -190,9 +213,10 @@ def _rewrite(at: int, shared, listed: int | None, dropped: list | None):
 def without_recurring_lines(docs: DataFrame, *, broadcast: int = BROADCAST, **options) -> DataFrame:
     """``docs`` (doc_id, text, any other columns, which stay) with the lines of recurring templates left out of text.
 
-    A document counts once for a template. Rows equal in doc_id and text are counted each but share one core. A row of
-    which no word is left goes; null texts and texts without words stay as they are. Lines end at \\n; order and all
-    other lines are kept as they are. Null doc_ids count as 0. An empty table gives an empty table.
+    A document counts once for a template, however many rows or near copies repeat it. A row of which no word is left
+    goes; null texts and texts without words stay as they are. Lines end at \\n and may be of any length; order and all
+    other lines are kept as they are. Repeated rows fare alike; null doc_ids count as 0. Ties do not arise: a template
+    goes or stays as a whole. Other columns may have any name. An empty table gives an empty table.
     """
     lines, often = recurring(docs, **options)
     often = materialise(often.select("line"))
@@ -200,16 +224,16 @@ def without_recurring_lines(docs: DataFrame, *, broadcast: int = BROADCAST, **op
     if often.limit(broadcast + 1).count() <= broadcast:
         shared = sc.broadcast({r[0] for r in often.toLocalIterator()})
         return docs.mapInArrow(_rewrite(at, shared, None, None), docs.schema)
-    lists = lines.join(often, "line").select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias("gone__"))  # at most a document's lines
-    where = docs.columns.index("doc_id")
+    where, doc, gone = docs.columns.index("doc_id"), unused("doc__", docs.columns), unused("gone__", docs.columns)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = [doc_key(d, t or "") for d, t in zip(b.column(where).to_pylist(), b.column(at).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int64())], names=[*b.schema.names, "doc__"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int64())], names=[*b.schema.names, doc])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("doc__", T.LongType())])
-    with_lists = docs.mapInArrow(keyed, schema).join(lists.withColumnRenamed("doc", "doc__"), "doc__", "left").select(*docs.columns, "gone__")
+    lists = lines.join(often, "line").select("doc", "line").distinct().groupBy("doc").agg(F.collect_list("line").alias(gone))  # at most a document's lines
+    schema = T.StructType([*docs.schema.fields, T.StructField(doc, T.LongType())])
+    with_lists = docs.mapInArrow(keyed, schema).join(lists.withColumnRenamed("doc", doc), doc, "left").select(*docs.columns, gone)
     return with_lists.mapInArrow(_rewrite(at, None, len(docs.columns), None), docs.schema)
 
 

@@ -246,6 +246,72 @@ def test_short_counter_lines(spark):
     assert got == {i: f"{b}\n{rows[i][1].split(chr(10))[-1]}" for i, b in enumerate(body)}
 
 
+def brute_lines(texts, min_docs=10, long=20, long_docs=3):
+    """The stated rule for texts of which none is a near copy of another: the lines that stay of each."""
+
+    def mask(x):
+        m = " ".join(w if not any(c.isdigit() for c in w) else "<*>" for w in x.split(" "))
+        return m if any(c.isalpha() for c in m) else x
+
+    leaves: dict = {}
+    for k, t in enumerate(texts):
+        for x in set(map(mask, t.split("\n"))):
+            w = x.split(" ")
+            if len(w) >= 2:
+                leaves.setdefault((len(w), *w[:3]), {}).setdefault(x, set()).add(k)
+    drop = set()
+    for leaf, lines in leaves.items():
+        kinds = [len({x.split(" ")[i] for x in lines}) for i in range(leaf[0])]
+        carriers: dict = {}
+        named = {}
+        for x, held in lines.items():
+            w = ["<*>" if i >= 3 and kinds[i] > 8 else y for i, y in enumerate(x.split(" "))]
+            named[x] = " ".join(w) if sum(y != "<*>" for y in w) >= 0.6 * len(w) else x
+            carriers.setdefault(named[x], set()).update(held)
+        drop |= {x for x in lines if len(carriers[named[x]]) >= (long_docs if leaf[0] >= long else min_docs)}
+    return ["\n".join(x for x in t.split("\n") if mask(x) not in drop) for t in texts]
+
+
+def test_line_templates_match_brute_force(spark):
+    rnd = random.Random(41)
+    own = [[prose(rnd, 25, 10**6)] for _ in range(400)]
+    for _ in range(120):
+        n, carriers = rnd.choice([2, 5, 8, 12, 20, 30]), rnd.choice([1, 2, 6, 16, 40])
+        line = prose(rnd, n, 10**6).replace("w", "x").translate(str.maketrans("0123456789", "abcdefghij")).split(" ")
+        at, number = rnd.choice([None, None, *range(3, n)]), n > 2 and rnd.random() < 0.3
+        for k in rnd.sample(range(400), carriers):
+            x = [f"y{rnd.choice('abcdefghijkl') * 3}" if i == at else w for i, w in enumerate(line)]
+            own[k].insert(rnd.randrange(len(own[k]) + 1), " ".join([*x[:-1], f"{rnd.randrange(99)}"] if number else x))
+    texts = ["\n".join(x) for x in own]
+    got = {r["doc_id"]: r["text"] for r in templates.without_recurring_lines(docs(spark, list(enumerate(texts)))).collect()}
+    want = brute_lines(texts)
+    assert [got[k] for k in range(400)] == want and sum(a != b for a, b in zip(texts, want, strict=True)) > 300
+
+
+def test_copies_neither_make_lines_recur_nor_save_them(spark):
+    rnd = random.Random(42)
+    line, rows, kept = prose(rnd, 12, 10**6), [], {}
+    for i in range(20):
+        own = [prose(rnd, 30, 10**6) for _ in range(3)]
+        for k in range(60):  # nine copies and fifty near copies of each document
+            body = "\n".join(own if k < 10 else [" ".join(w if rnd.random() > 1 / 60 else f"n{rnd.random()}" for w in x.split(" ")) for x in own])
+            kept[100 * i + k] = body
+            rows.append((100 * i + k, f"{body}\n{line}"))
+    got = {r["doc_id"]: r["text"] for r in templates.without_recurring_lines(docs(spark, rows)).collect()}
+    assert got == kept
+
+
+def test_line_hard_texts(spark, hard):
+    """Nulls, empty texts, long texts and tokens, repeated rows, no lines at all, columns with the names of made ones."""
+    from pyspark.sql import functions as F
+
+    df = hard.withColumn("doc__", F.lit("d")).withColumn("gone__", F.lit(2)).withColumn("line", F.lit(1.5))
+    df = df.unionByName(df.where("doc_id = 1").withColumn("doc_id", F.lit(50)).withColumn("text", F.lit("x" * 400_000 + "\n" * 50_000 + "end")))
+    for n in (10**6, 0):
+        out = templates.without_recurring_lines(df, broadcast=n)
+        assert out.dtypes == df.dtypes and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+
+
 def test_line_lists_by_join_are_the_same(spark):
     df = common.table(spark, SMALL, "documents")
     a, b = (sorted(map(repr, templates.without_recurring_lines(df, broadcast=n, min_docs=4).collect())) for n in (10**6, 0))
