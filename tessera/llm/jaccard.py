@@ -20,16 +20,20 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, release, slices, steps, sums, table, unpack
+from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, release, slices, steps, sums, table, unpack, unused
 from tessera.llm.components import components
 
 #: Parts beyond the D + 1 that must be scanned: one in so many of them, and this many more.
 SPARE_ONE_IN, SPARE = 4, 2
 #: Of a block in the check of heavy candidates.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
+#: Hubs of a component, and of a block of it.
+HUBS, BLOCK_HUBS = 64, 8
+#: Sizes from which a set is never light: its subsets would be thousands.
+MOST_LIGHT = 32
 #: Subset hashes that a task packs at once, and blocks of a packed row, which are read one after the other.
 FLUSH, BLOCKS = 4_000_000, 4
 
@@ -48,17 +52,27 @@ def subset_sizes(n: int, percent: int) -> list[int]:
 class Plan:
     """Boundary between light and heavy sets, and the heavy sets' bands, for one threshold."""
 
-    def __init__(self, percent: int, check_cost: float = 1.0):
+    def __init__(self, percent: int, sizes: dict[int, int] | None = None):
+        """sizes: how many sets have each size; without them every size counts alike."""
         self.percent = percent
-        self.light = 0
-        n = 1
-        while n < 100_000 and sum(comb(n, t) for t in subset_sizes(n, percent)) <= 2 * self._parts(self._differ(n)) + check_cost * n:
-            self.light, n = n, n + 1
+        self.light = self._boundary(sizes)
         self.heavy_from = max(1, -(-percent * (self.light + 1) // 100))  # partners of heavy sets go on the lists too
         self.starts = [self.heavy_from]
         while self.starts[-1] < 1 << 40:
             self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // percent)))
 
+    def _boundary(self, sizes: dict[int, int] | None) -> int:
+        """The greatest size of a light set: that with the fewest hashes of subsets, and of parts from heavy_from on."""
+        subsets, parts = [0], [0]
+        while len(subsets) <= MOST_LIGHT:
+            n = len(subsets)
+            many = sizes.get(n, 0) if sizes is not None else 1
+            subsets.append(many * sum(comb(n, t) for t in subset_sizes(n, self.percent)))
+            parts.append(many * 2 * self._parts(self._differ(n)))
+        heavy_from = lambda light: max(1, -(-self.percent * (light + 1) // 100))
+        cost = [sum(subsets[: light + 1]) + sum(parts[heavy_from(light) :]) for light in range(MOST_LIGHT)]
+        return cost.index(min(cost))
+
     def _differ(self, smaller: int) -> int:
         """Most elements in which two sets at the threshold differ, the smaller having ``smaller``: union <= smaller / t."""
         return (100 - self.percent) * smaller // self.percent
@@ -157,7 +171,7 @@ def _packed(light: bool, held: list[tuple], buckets: int) -> Iterator[tuple]:
 _LISTS = "bucket int, light boolean, keys binary, blocks array<binary>"
 
 
-def _lists(percent: int, k: int, buckets: int):
+def _lists(plan: Plan, k: int, buckets: int):
     """Texts to their sets' subset hashes, packed by hash range; copies within a task are listed once."""
 
     def batch(held: dict) -> pa.RecordBatch:
@@ -166,7 +180,7 @@ def _lists(percent: int, k: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "light", "keys", "blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = Plan(percent), set()
+        seen: set[int] = set()
         held: dict = {True: [], False: []}
         size = 0
         for b in slices(batches, 0):
@@ -246,13 +260,12 @@ def _stars(percent: int, buckets: int):
     return run
 
 
-def _candidates(percent: int):
+def _candidates(plan: Plan):
     """Per partition, which has all lists that sets share with others: each set hangs on the first set of those lists that
     are among its D + 1 shortest. Lists of one set come first and were not sent; lists of empty parts come last; equal
     places are all taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Plan(percent)
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for b in batches:
             for blob in b.column(0).to_pylist():
@@ -337,6 +350,9 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 
 
 def _verify(percent: int):
+    """Per (comp, lo, hi): links (a, b) between its sides, or within its one side where lo is hi; there also the hubs
+    (a, a) of its largest groups, with how many links they have."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["comp", "lo", "hi"]):
             g = g.drop_duplicates(["key", "side"])
@@ -344,7 +360,7 @@ def _verify(percent: int):
             one = g["lo"].iloc[0] == g["hi"].iloc[0]
             side = g["side"].to_numpy()
             l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            root = list(range(len(g)))
+            root, degree = list(range(len(g))), [0] * len(g)
 
             def find(x, root=root):
                 while root[x] != x:
@@ -355,33 +371,81 @@ def _verify(percent: int):
             out = []
             if (one and len(l) > 1) or (not one and len(l) and len(r)):
                 for a, b in links_between([sets[i] for i in l], None if one else [sets[i] for i in r], percent):
+                    degree[order[a]] += 1
+                    degree[order[b]] += 1
                     x, y = find(order[a]), find(order[b])
                     if x != y:
                         root[x] = y
-                        out.append((keys[order[a]], keys[order[b]]))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                        out.append((keys[order[a]], keys[order[b]], 0))
+            if one and out:
+                best: dict[int, list[int]] = {}
+                for i in range(len(g)):
+                    best.setdefault(find(i), []).append(i)
+                for members in sorted(best.values(), key=lambda m: -len(m))[:BLOCK_HUBS]:
+                    hub = max(members, key=lambda i: degree[i])
+                    out.append((keys[hub], keys[hub], degree[hub]))
+            yield pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
 
     return run
 
 
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all of ``sets`` (comp, blocks, key, shingles) that links join, within each comp."""
+    parts = partitions(sets.sparkSession)
+
+    def check(rows: DataFrame) -> DataFrame:
+        return materialise(rows.repartition(parts, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInPandas(_verify(percent), "a bigint, b bigint, links bigint"))
+
+    def rows(df: DataFrame, lo, hi, side) -> DataFrame:
+        as_long = lambda c: F.lit(c).cast("bigint") if isinstance(c, int) else c.cast("bigint")
+        return df.select("comp", as_long(lo).alias("lo"), as_long(hi).alias("hi"), (F.lit(side) if isinstance(side, int) else side).alias("side"), "key", "shingles")
+
+    def times(df: DataFrame, n: str, name: str) -> DataFrame:
+        return df.where(f"{n} > 0").select("*", F.explode(F.expr(f"sequence(0L, {n} - 1L)")).alias(name))
+
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    first = check(rows(sets, F.col("own"), F.col("own"), 0))
+    out = first.where("a <> b").select("a", "b")
+    large = sets.where("blocks > 1")
+    if large.limit(1).count() == 0:
+        return out
+    top = Window.partitionBy("comp").orderBy(F.desc("links"), "key")
+    hubs = first.where("a = b").select(F.col("a").alias("key"), "links").join(large, "key").withColumn("place", F.row_number().over(top)).where(F.col("place") <= HUBS)
+    second = check(rows(large, F.col("own"), -1, 0).union(rows(times(materialise(hubs), "blocks", "to"), F.col("to"), -1, 1)))
+    out = out.union(second.where("a <> b").select("a", "b"))
+    sub = large.select("comp", "blocks", "key").join(components(out).withColumnRenamed("node", "key"), "key", "left").select("comp", "blocks", "key", F.coalesce("root", "key").alias("sub"))
+    sub = materialise(sub)
+    count = sub.groupBy("comp", "blocks", "sub").agg(F.count("*").alias("n")).groupBy("comp", "blocks").agg(F.sum("n").alias("m"), F.max(F.struct("n", "sub")).alias("top"))
+    core = materialise(count.select("comp", F.col("top.sub").alias("core"), F.ceil(F.col("blocks") * (F.col("m") - F.col("top.n")) / F.col("m")).cast("bigint").alias("left")))
+    large = large.join(sub.select("key", "sub"), "key").join(core, "comp").where("left > 0").withColumn("of", F.pmod(F.xxhash64("key", F.lit(1)), F.col("left")))
+    rest = large.where("sub <> core")
+    across = rows(times(rest, "blocks", "to"), -2 - F.col("of"), F.col("to"), 0).union(rows(times(large.where("sub = core"), "left", "to"), -2 - F.col("to"), F.col("own"), 1))
+    among = rows(times(rest, "left", "to"), F.least("of", "to"), F.greatest("of", "to"), F.when(F.col("of") <= F.col("to"), 0).otherwise(1))
+    third = check(across.union(among))
+    return out.union(third.where("a <> b").select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word shingles (A-Z lower-cased;
     with fewer words the whole sequence; no words or null text: the empty set, linked with nothing). component_id is the
     least id reachable by links, itself included. Repeated rows each get a row and are linked by their equal sets. A row
-    with a null id takes part and gets the least non-null id of its component, else null. Other columns are ignored,
-    whatever their names. An empty table gives an empty table. Sets are identified by 64-bit hashes.
+    with a null id takes part and gets the least non-null id of its component, else null. Texts and words may be of any
+    length. Other columns are ignored, whatever their names. An empty table gives an empty table. Sets are identified by
+    64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(rows.mapInArrow(_fingerprints(k), "doc_id bigint, n bigint, key bigint"))
     parts = partitions(spark)
-    lists = rows.select("text").mapInArrow(_lists(percent, k, parts), _LISTS).repartitionById(parts, F.col("bucket"))
+    sizes = prints.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()  # MOST_LIGHT rows at most
+    plan = Plan(percent, {r["n"]: r["count"] for r in sizes})
+    lists = rows.select("text").mapInArrow(_lists(plan, k, parts), _LISTS).repartitionById(parts, F.col("bucket"))
     stars = materialise(lists.select("light", "keys", "blocks").mapInArrow(_stars(percent, parts), "a bigint, b bigint, bucket int, shared binary"))
     links = stars.where("shared is null").select("a", "b")
     back = stars.where("shared is not null").select("bucket", "shared").repartitionById(parts, F.col("bucket"))
-    near = components(back.select("shared").mapInArrow(_candidates(percent), "a bigint, b bigint"))
+    near = components(back.select("shared").mapInArrow(_candidates(plan), "a bigint, b bigint"))
     near = materialise(near)
     classes = prints.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     found = materialise(classes.join(bounded_broadcast(near, broadcast_rows).withColumnRenamed("node", "key"), "key").select("key", "first_id", "n", F.col("root").alias("comp")))
@@ -390,9 +454,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(found.join(blocks, "comp").where("n > 0").select(F.col("first_id"), "key", "comp", "blocks"))
     texts = rows.join(bounded_broadcast(found, broadcast_rows), rows.doc_id.eqNullSafe(found.first_id)).select("text", "key", "comp", "blocks")
     sets = texts.mapInArrow(_sets(k), "key bigint, comp bigint, blocks bigint, shingles binary")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    pairs = sets.select("key", "comp", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "key", "shingles")
-    checked = pairs.repartition(parts, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInPandas(_verify(percent), "a bigint, b bigint")
+    checked = _linked(materialise(sets), percent)
 
     roots = components(links.union(checked))
     labelled = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", "copies", F.coalesce("root", "key").alias("root"))
@@ -409,12 +471,13 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, broadcast_row
     words.
     """
     found = materialise(jaccard_components(docs, k=k, percent=percent))
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone__")).distinct())
-    left = docs.join(bounded_broadcast(gone, broadcast_rows), F.col("doc_id") == F.col("gone__"), "left_anti")
-    again = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again__")).count().where("count > 1").select("again__"))
+    name = unused("gone__", docs.columns)
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    left = docs.join(bounded_broadcast(gone, broadcast_rows), F.col("doc_id") == F.col(name), "left_anti")
+    again = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name))
     if again.isEmpty():
         return left
-    on = F.col("doc_id") == F.col("again__")
+    on = F.col("doc_id") == F.col(name)
     again = bounded_broadcast(again, broadcast_rows)
     return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 

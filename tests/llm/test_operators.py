@@ -672,6 +672,38 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert got == pairs_components({i: shingles(t) for i, t in rows}, 90)
 
 
+def test_jaccard_blocks_of_chains_and_stars(spark, monkeypatch):
+    """Components of many blocks: chains that no hub holds together, groups that link to their original only, and
+    candidates that do not link at all."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard, "HUBS", 3)
+    rnd, rows = random.Random(14), []
+    w = prose(rnd, 120).split()
+    for i in range(60):  # each is the one before with a word replaced, now and then with too many
+        w = list(w)
+        for p in rnd.sample(range(120), 14 if i % 13 == 12 else 2):
+            w[p] = f"c{i}_{p}"
+        rows.append((i, " ".join(w)))
+    star = prose(rnd, 150).split()
+    rows.append((100, " ".join(star)))
+    for i in range(101, 150):
+        v = list(star)
+        for p in rnd.sample(range(0, 150, 3), rnd.choice([3, 4, 5, 8])):
+            v[p] = f"s{i}_{p}"
+        rows.append((i, " ".join(v)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    want = pairs_components({i: shingles(t, 5) for i, t in rows}, 80)
+    assert got == want and 5 < len(set(want.values())) < 60
+
+
+def test_boundary_follows_the_sizes():
+    few, many = jaccard.Plan(90, {n: 1000 if n > 24 else 1 for n in range(1, 33)}), jaccard.Plan(90, {n: 1000 if n < 12 else 1 for n in range(1, 33)})
+    every = jaccard.Plan(90)
+    for plan in (few, many, every):
+        assert 0 <= plan.light < jaccard.MOST_LIGHT and plan.heavy_from <= plan.light + 1
+    assert jaccard.Plan(90, {n: 1 for n in range(1, 33)}).light == every.light and jaccard.Plan(90, {}).light == 0
+
+
 def test_jaccard_shared_passages(spark, monkeypatch):
     """Texts that quote the same passages are no candidates; near copies among them are found at the threshold exactly."""
     rnd, rows = random.Random(13), []
