@@ -40,15 +40,23 @@ def rows_to_insert(spark: SparkSession, schema: T.StructType, columns: list[str]
     return spark.createDataFrame(out, schema)
 
 
-def key_conflict(new: DataFrame, old: DataFrame | None, key: list[str]) -> bool:
-    """Whether keys repeat in ``new`` or occur in ``old``. ``new`` is on the statement's scale; old is only scanned."""
-    if not key:
-        return False
-    if not new.where(conjunction([F.col(k).isNotNull() for k in key])).count() == new.count():
+def key_stats(rows: DataFrame, key: list[str]) -> dict:
+    """Rows, those with a null in the key, and the range of the first key column, in one pass."""
+    null = ~conjunction([F.col(k).isNotNull() for k in key])
+    return rows.agg(F.count_if(null).alias("nulls"), F.min(key[0]).alias("low"), F.max(key[0]).alias("high")).first().asDict()
+
+
+def key_conflict(stats: dict, new: DataFrame, old: DataFrame | None, key: list[str]) -> bool:
+    """Whether keys repeat in ``new`` (which has ``stats``) or occur in ``old``, of which only the range of the new keys is
+    read."""
+    if stats["nulls"]:
         raise SqlError("null in a key column")
-    if not new.groupBy(*key).count().where("count > 1").isEmpty():
-        return True
-    return old is not None and not old.select(*key).join(new.select(*key), key, "left_semi").isEmpty()
+    if stats["low"] is None:
+        return False
+    rows = new.select(*key, F.lit(1).alias("new_"))
+    if old is not None:
+        rows = rows.unionAll(old.where(F.col(key[0]).between(F.lit(stats["low"]), F.lit(stats["high"]))).select(*key, F.lit(0).alias("new_")))
+    return not rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("new_").alias("new_")).where("n > 1 and new_ = 1").isEmpty()
 
 
 class _OneTable(Scope):

@@ -29,14 +29,27 @@ def frame(message: dict) -> bytes:
     return struct.pack(">I", len(body)) + body
 
 
+def _bounded(df) -> list[list]:
+    """The rows, fetched a partition at a time, as long as they fit into a frame."""
+    rows, size = [], 0
+    for r in df.toLocalIterator():
+        rows.append(list(r))
+        size += len(json.dumps(rows[-1], default=str))
+        if size > MOST // 2:
+            raise SqlError(f"a result of over {MOST // 2} bytes: ask for less with WHERE or LIMIT")
+    return rows
+
+
 def answer(session: Session, request: dict) -> dict:
     try:
         if request.get("operation") == "batchUpdate":
             sets = request.get("parameterSets") or []
             return {"ok": True, "updateCounts": [1] * session.execute_batch(request["sql"], sets)}
+        if request.get("operation") == "metadata":
+            return {"ok": True, "rows": session.metadata(request.get("of", "tables"), request.get("table"))}
         got = session.execute(request["sql"], request.get("parameters"))
         if got.df is not None:
-            return {"ok": True, "columns": got.columns(), "rows": got.rows()}
+            return {"ok": True, "columns": got.columns(), "rows": _bounded(got.df)}
         return {"ok": True, "updateCount": got.update_count}
     except SqlError as e:
         return {"ok": False, "error": str(e), "sqlState": e.sqlstate}
