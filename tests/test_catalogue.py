@@ -5,6 +5,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from tessera.operators.exchange import exchange
 from tessera.plans.catalogue import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -45,4 +48,25 @@ def test_filters_reach_the_scan(spark):
 @pytest.mark.parametrize("name", ["theta_join", "cross_join_three", "index_lookup_join", "sum_double", "compat_count"])
 def test_whole_tables_without_id_prefix(name):
     prefixes = ("s_suppkey <", "o_orderkey <", "o_custkey <")
-    assert not any(x in ORACLES[f"{name}_all"] for x in prefixes)
+    assert not any(x in ORACLES[name] for x in prefixes)
+
+
+def test_exchange_routes(spark):
+    """Tasks that hold rows, and whether equal keys meet in one."""
+    df = spark.range(0, 400, 1, 7).selectExpr("id", "id % 40 AS k")
+    per_task = lambda d: [r["count"] for r in d.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert per_task(exchange(df, "gather")) == [400]
+    dealt = per_task(exchange(df, "round_robin", 4))
+    assert len(dealt) == 4 and max(dealt) - min(dealt) <= 7  # each of seven producers deals in turn
+    assert exchange(df, "hash", 4, "k").groupBy("k").agg(F.countDistinct(F.spark_partition_id()).alias("n")).where("n > 1").isEmpty()
+    hinted = df.join(exchange(df.select("id"), "broadcast"), "id")
+    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcast_is_bounded(spark, monkeypatch):
+    from tessera.operators import exchange as module
+
+    monkeypatch.setattr(module, "BROADCAST", 5)
+    df = spark.range(10)
+    assert "hint" not in exchange(df, "broadcast")._jdf.queryExecution().analyzed().toString().lower()
+    assert "hint" in exchange(df.limit(3), "broadcast")._jdf.queryExecution().analyzed().toString().lower()
