@@ -3,7 +3,8 @@
 Queries and rows meet in tiles. A tile's product of int8-quantised unit vectors gives every cosine to within a proven
 bound; only pairs that could still be among a query's k best are recomputed in double precision from the original
 vectors and kept in a heap per query. Each task keeps one heap for each query over all its rows, and the heaps of all
-tasks are merged. Queries go to the tasks in blocks of bounded size, so no pair and no vector is shuffled.
+tasks are merged. Queries go to the tasks in blocks of bounded size, one after the other, so no pair and no vector is
+shuffled and the driver holds one block, however many queries there are.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 
-#: Queries broadcast at once, and rows and queries of a tile.
-BLOCK, TILE = 20_000, 1024
+#: Numbers of query vectors broadcast at once (8 bytes each), and rows and queries of a tile.
+BLOCK, TILE = 4_000_000, 1024
 _PAIRS = 200_000
 
 
@@ -145,8 +146,8 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     spark = rows.sparkSession
     sc = spark.sparkContext
     pick = lambda df: df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    one = pick(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-one.count() * 5 // (4 * BLOCK)))  # hashing leaves blocks uneven
+    one = materialise(pick(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
+    blocks = max(1, -(-(one.agg(F.sum(F.size("v"))).first()[0] or 0) * 5 // (4 * BLOCK)))  # hashing leaves blocks uneven
     found = None
     for i in range(blocks):
         got = one.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").toArrow()
@@ -156,7 +157,11 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
             col = col if isinstance(col, pa.Array) else col.chunk(0)
             ids = got.column("vec_id").to_numpy()
             held = {d: (ids[at], x) for d, (at, x) in vectors(col).items()}
-        part = pick(rows).mapInArrow(_search(sc.broadcast(held), k), "query_id bigint, vec_id bigint, score double")
+        shared = sc.broadcast(held)
+        part = pick(rows).mapInArrow(_search(shared, k), "query_id bigint, vec_id bigint, score double")
+        if blocks > 1:  # before the next block is read
+            part = materialise(part)
+            shared.destroy()
         found = part if found is None else found.union(part)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))

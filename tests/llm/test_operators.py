@@ -170,6 +170,49 @@ def test_lm(spark, hard):
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
 
 
+def test_lm_scores_match_brute_force(spark, monkeypatch):
+    """The histogram for EM and the interpolated scores, with stated weights, from counts in dictionaries."""
+    rnd, seen = random.Random(9), []
+    rows = [(i, prose(rnd, rnd.randrange(30), 60)) for i in range(400)]
+    raw = np.array([[0.5 + 0.01 * b, 0.3, 0.2 - 0.001 * b] for b in range(lm.BUCKETS)])
+    lam = raw / raw.sum(axis=1, keepdims=True)
+    monkeypatch.setattr(lm, "weights", lambda hist: seen.append(hist) or lam)
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 500)
+    fold = lambda i: zlib.crc32(str(i).encode())
+    train = {i: [*words(t), None] for i, t in rows if fold(i) % 5 != 1}
+    held = {i: t for i, t in train.items() if fold(i) // 5 % 10 == 0}
+    main = [t for i, t in train.items() if i not in held]
+
+    def parts(texts):
+        uni, bi = Counter(w for t in texts for w in t), Counter((a, b) for t in texts for a, b in zip(["<s>", *t], t, strict=False))
+        uni["<s>"] = len(texts)
+        n, v = sum(uni.values()) - len(texts), len(uni) - 1
+
+        def estimates(text):
+            for a, b in zip(["<s>", *text], text, strict=False):
+                c = uni[a]
+                yield (1 + int(math.log2(c)) if c else 0), (bi[a, b] / c if c else 0.0), uni[b] / n, 1 / (v + 1)
+
+        return estimates
+
+    every, before = parts(list(train.values())), parts(main)
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs(spark, rows)).collect()}
+    for i, t in rows:
+        want = 0.0
+        for b, p2, p1, p0 in every([*words(t), None]):
+            w = lam[b] if b else np.array([0, *(lam[0][1:] / lam[0][1:].sum())])
+            want += math.log10(w[0] * p2 + w[1] * p1 + w[2] * p0)
+        assert abs(got[i] - want) < 1e-6
+    cells = [x for t in held.values() for x in before(t)]
+    hist = seen[0]
+    assert hist["n"].sum() == len(cells)
+    for b in range(9):
+        mine = hist[hist["cell"] // lm.CELLS**2 == b]
+        assert mine["n"].sum() == sum(x[0] == b for x in cells)
+        for k, name in ((1, "r2"), (2, "r1")):
+            assert abs(mine[name].sum() - sum(x[k] / x[3] for x in cells if x[0] == b)) < 1e-6 * max(1, mine[name].sum())
+
+
 def test_lm_groups_round_trip():
     rnd = np.random.default_rng(1)
     g = lm.Group([4, None], np.array([True, False]), np.append(rnd.integers(0, 50, 39).astype(np.uint64), lm.END), np.array([15, 25]))
@@ -765,11 +808,63 @@ def test_toxicity(spark, hard):
     assert len({r["score"] for r in one}) == 1 and one[0]["score"] < 0.01
 
 
-def test_kneser_ney_sums_to_one():
-    """Over all events after a context, each class's probabilities add up to one less what is left for unknown events."""
-    m = toxicity.KneserNey(["abra", "cadabra", "bar"], [np.array([3, 1, 0]), np.array([0, 2, 5])])
-    assert np.isfinite(m.ratios(["abra", "zzz", "b"])).all() and abs(m.ratios(["zzz"])[0]) < 5
-    assert m.ratios(["bar"])[0] > 0 > m.ratios(["abra"])[0]
+def brute_kneser_ney(words, counts):
+    """log P(word | class 1) - log P(word | class 0), from strings and dictionaries; and P of one event."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    spelled = [f"^{w}$" for w in words]
+    tops = [Counter() for _ in counts]
+    for w, *each in zip(spelled, *counts, strict=True):
+        for p in range(1, len(w)):
+            for t, n in zip(tops, each, strict=True):
+                if n:
+                    t[w[max(0, p + 1 - order) : p + 1]] += n
+    longer = [{w[p - n : p + 1] for w in spelled for p in range(n, len(w))} for n in range(order)]  # grams of n + 1
+    lower = [Counter(g[1:] for g in longer[n]) for n in range(1, order)]
+    floor = 1 / (len({c for w in spelled for c in w}) + 1)
+
+    def mixed(table, gram, p):
+        context = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        total = sum(context.values())
+        return max(table[gram] - d, 0) / total + d * len(context) / total * p if total else p
+
+    def event(w, p, k):
+        out = floor
+        for n in range(1, order):
+            if p >= n - 1:
+                gram = w[p + 1 - n : p + 1]
+                out = mixed(Counter({g: c for g, c in lower[n - 1].items()}), gram, out)
+        return mixed(tops[k], w[max(0, p + 1 - order) : p + 1], out)
+
+    return lambda word: sum(math.log(event(f"^{word}$", p, 1) / event(f"^{word}$", p, 0)) for p in range(1, len(word) + 2)), event
+
+
+def test_kneser_ney_matches_brute_force():
+    rnd = random.Random(51)
+    words = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 9))) for _ in range(60)})
+    counts = [np.array([rnd.choice([0, 0, 1, 2, 5]) for _ in words]) for _ in range(2)]
+    ratio, event = brute_kneser_ney(words, counts)
+    m = toxicity.KneserNey(words, counts)
+    asked = [*words[:30], "abcabcabcabc", "zzz", "a", "éé"]
+    assert np.abs(m.ratios(asked) - np.array([ratio(w) for w in asked])).max() < 1e-9
+    symbols = {c for w in words for c in w} | {"^", "$"}
+    for k in (0, 1):  # with what is left for unknown symbols, events after a context add up to one
+        for start in ("^", "^a", "^abc", "^abcab"):
+            assert abs(sum(event(start + c, len(start), k) for c in symbols) + event(start + "?", len(start), k) - 1) < 1e-9
+
+
+def test_word_ratios_match_brute_force():
+    rnd = random.Random(52)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = [[np.array([rnd.randrange(12 - 2 * k) for _ in range(rnd.randrange(1, 9))]) for _ in range(9)] for k in (0, 1)]
+    counts = [Counter(i for t in of for i in t.tolist()) for of in texts]
+    pairs = {(a, b) for of in texts for t in of for a, b in zip([-1, *t.tolist()], t.tolist(), strict=False)}
+    shared, d = Counter(b for _, b in pairs), toxicity.DISCOUNT
+    p = lambda i, c: max(counts[c][i] - d, 0) / sum(counts[c].values()) + d * len(counts[c]) / sum(counts[c].values()) * shared[i] / len(pairs)
+    got = toxicity.Ratios(texts, vocab).of([*vocab, "unseen", ""])
+    for i in range(12):
+        want = math.log(p(i, 1) / p(i, 0)) if counts[0][i] + counts[1][i] else 0.0
+        assert abs(got[i, 0] - want) < 1e-9
+    assert got[12, 0] == 0 and (got[13] == 0).all()
 
 
 # --- 10 ---
