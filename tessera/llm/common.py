@@ -28,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, and in a local session, one of
+    our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(at)

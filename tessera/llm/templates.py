@@ -2,7 +2,7 @@
 
 A line's path in the tree is its number of tokens and its leading tokens, with tokens that hold a digit as ``<*>``. In a
 leaf, a position at which more than MAX_CHILDREN tokens occur is a variable field too, as long as the line keeps most of
-its tokens (tokens that hold a digit need only one word beside them); the line with its variable fields as ``<*>`` is its
+its tokens (tokens that hold a digit need one word to three of them); the line with its variable fields as ``<*>`` is its
 template. A template that recurs in many documents is boilerplate and its lines are dropped.
 
 Copies of a document are one document. A carrier has SEEDS cores, least hashes of the shingles of its other lines, which
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import Words, bounded_broadcast, materialise, mix, slices, table, unused
 
 FIELD = "<*>"
-DEPTH, MAX_CHILDREN, KEEP = 3, 8, 0.6
+DEPTH, MAX_CHILDREN, KEEP, FIELDS_A_WORD = 3, 8, 0.6, 3
 #: Distinct documents that a template needs, from LONG tokens on LONG_DOCS; least tokens of a line.
 MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS = 10, 20, 3, 2
 #: Cores of a carrier, two to a column; how often expected chance roots are taken off; distinct cores of all carriers.
@@ -47,13 +47,15 @@ _SPACE, _ODD = re.compile(r"[\x20\x09-\x0D]+"), ("  ", "\t", "\r", "\x0b", "\x0c
 
 
 def masked(line: str) -> str:
-    """The line's tokens by single spaces, those with a digit as FIELD if a word (a token with a letter) is left."""
+    """The line's tokens by single spaces, those with a digit as FIELD if a word (another token, with a letter) is left to
+    every FIELDS_A_WORD of them: a line of figures with a unit is no template."""
     if any(c in line for c in _ODD):
         line = _SPACE.sub(" ", line)
     line = line.strip(" ")
     if any(c in line for c in "0123456789"):
         m = _VARIABLE.sub(FIELD, line)
-        if any(c.isalpha() for c in m):
+        tokens = m.split(" ")
+        if tokens.count(FIELD) <= FIELDS_A_WORD * sum(any(c.isalpha() for c in t) for t in tokens):
             return m
     return line
 
