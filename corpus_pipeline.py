@@ -1,4 +1,5 @@
-"""Documents to a training mix, in five stages. Each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Documents to a training mix, in five stages. Each takes (spark, docs, sf_dir) and returns a DataFrame. Other columns of
+the input may have any name and stay; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -10,22 +11,29 @@ from tessera.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is predicted toxic go."""
+    """Rows whose text is predicted toxic go; all columns stay. Null texts and texts without words have the share of toxic
+    training texts as score, and stay while that is under the threshold. Repeated rows fare alike; ids may be null or
+    repeat; texts may be of any length. Without labels of both classes every row has that score."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, and rows of which nothing is left; n_chars follows the text."""
+    """Lines of recurring templates go, and rows of which nothing is left; n_chars follows the text. Null texts, texts
+    without words and all other columns stay as they are; repeated rows fare alike and count as one document, as near
+    copies do; lines may be of any length."""
     return templates.without_recurring_lines(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (80 % of their five-word shingles) stays."""
+    """One document of each group of near copies (80 % of their five-word shingles) stays: that of the least doc_id. Rows
+    that repeat doc_id and text become one; rows with a null id stay, as do null texts and texts without words, which are
+    like no other; all columns stay."""
     return jaccard.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a benchmark passage go."""
+    """Rows whose text holds a benchmark passage, at least 80 % of its words in place, go; all columns stay. Null and empty
+    texts stay, null and empty items find nothing, repeated rows fare alike, an empty benchmark leaves every row."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
