@@ -45,7 +45,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     size: words of the text, null 0. target: the source's, in words; taken: the words that the mix takes of the document,
     repeats counted; a source's sum is its target rounded. passes: how many times the document is begun; positions: where
     in [0, 1) each pass begins, in order; position: the first of them. What is not taken has position null, no passes and
-    comes last. A made column whose name is also a kept one's is called mix_ and its name. The null source is a source,
+    comes last. A made column whose name is also a kept one's is called mix_ and its name, as often as it takes. The null source is a source,
     the last one. The order in a ring is by a hash of id and text, then id and size; rows equal in all have
     interchangeable places. Null and empty texts, and so tables without any word: targets 0, nothing taken. An empty
     table gives an empty table. Reruns agree.
@@ -77,7 +77,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     out = out.withColumn("positions", F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1), when)).otherwise(F.array().cast("array<double>")))
     out = out.withColumn("position", F.get("positions", F.lit(0)))
     made = ("size", "source_size", "target", "taken", "position", "passes", "positions")
-    named = [F.col(c).alias(c if c not in keep else f"mix_{c}") for c in made]
+    taken = ["doc_id", *keep]
+    for c in made:
+        name = c
+        while name.lower() in {x.lower() for x in taken}:
+            name = f"mix_{name}"
+        taken.append(name)
+    named = [F.col(c).alias(name) for c, name in zip(made, taken[-len(made) :], strict=True)]
     return out.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", *named, *(F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"))
 
 

@@ -268,12 +268,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic; all columns stay."""
+    """``docs`` without the rows whose text is predicted toxic; all columns stay. Nothing speaks against null texts and
+    texts without words, which stay, nor against any if either class has fewer than two training texts. Repeated rows
+    fare alike. An empty table gives an empty table."""
     shared, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
-            yield b.filter(pa.array(shared.value.scores(Words(b.column(at))) < threshold))
+            w = Words(b.column(at))
+            judged = (np.diff(w.starts) > 0) & (shared.value.ratios is not None)
+            yield b.filter(pa.array(~judged | (shared.value.scores(w) < threshold)))
 
     return docs.mapInArrow(run, docs.schema)
 
