@@ -11,9 +11,9 @@ from tessera.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is predicted toxic go; all columns stay. Null texts and texts without words have the share of toxic
-    training texts as score, and stay while that is under the threshold. Repeated rows fare alike; ids may be null or
-    repeat; texts may be of any length. Without labels of both classes every row has that score."""
+    """Rows whose text is predicted toxic go; all columns stay. Null texts and texts without words stay, as does every row
+    where labels of both classes are missing. Repeated rows fare alike; ids may be null or repeat; texts may be of any
+    length."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,7 +21,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Lines of recurring templates go, and rows of which nothing is left; n_chars follows the text. Null texts, texts
     without words and all other columns stay as they are; repeated rows fare alike and count as one document, as near
     copies do; lines may be of any length."""
-    return templates.without_recurring_lines(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return templates.without_recurring_lines(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
