@@ -1,4 +1,4 @@
-"""SELECT as a declared plan: tables, conjunctive comparisons, then aggregate or sort, limit and projection.
+"""SELECT as a declared plan: tables, conjunctive comparisons, then groups or aggregate, sort, limit and projection.
 
 The plan is expressed with the DataFrame API; pushing filters into scans, choosing and ordering joins and picking top-k
 are left to Catalyst and adaptive execution. Comma joins are joined table by table on the predicates that connect them,
@@ -39,6 +39,9 @@ class Select:
     where: tuple[Predicate, ...] = ()
     order: tuple[tuple[Ref, bool], ...] = ()  # column, descending
     limit: int | None = None
+    distinct: bool = False
+    group: tuple[Ref, ...] = ()
+    offset: int | None = None
 
 
 @dataclass
@@ -119,19 +122,39 @@ def select(q: Select, tables: Mapping[str, DataFrame], mode: str = STANDARD) ->
         on = [c for c, used in bound if len(used) > 1 and i in used and used <= joined]
         df = df.join(frame, conjunction(on), "inner") if on else df.crossJoin(frame)
     calls = [x for x in q.items if x.call]
-    if calls:
+    if mode == COMPAT and (q.distinct or q.group or q.offset is not None):
+        raise unsupported("DISTINCT, GROUP BY and OFFSET")
+    if q.distinct and (calls or q.group):
+        raise unsupported("DISTINCT with aggregates")
+    if calls and not q.group:
         if len(calls) < len(q.items):
             raise unsupported("aggregates cannot be mixed with columns")
         if q.order:
             raise unsupported("ORDER BY with an aggregate")
-        df = df.agg(*(aggregate(x, scope, mode) for x in q.items))
-        return df if q.limit is None else df.limit(q.limit)
+        return _cut(df.agg(*(aggregate(x, scope, mode) for x in q.items)), q)
+    place = {i: f"a{i}" for i, x in enumerate(q.items) if x.call}
+    if q.group:
+        keys = list(dict.fromkeys(scope.find(r)[0] for r in q.group))
+        if any(x.what == "*" and not x.call for x in q.items):
+            raise unsupported("* with GROUP BY")
+        grouped = df.groupBy(*keys)
+        df = grouped.agg(*(aggregate(q.items[i], scope, mode).alias(n) for i, n in place.items())) if place else df.select(*keys).distinct()
+    out: list[tuple[str, str]] = []
+    for i, x in enumerate(q.items):
+        out += [(n, c) for _, c, n, _ in scope.columns] if x.what == "*" and not x.call else [(place[i] if i in place else scope.find(x.what)[0], x.label())]
+    shown = {n for n, _ in out}
+    if q.group and (hidden := shown - set(place.values()) - set(keys)):
+        raise unsupported(f"{len(hidden)} columns that are not in GROUP BY")
+    if q.distinct:
+        df = df.select(*dict.fromkeys(n for n, _ in out)).distinct()
     if q.order:
-        keys = [F.col(scope.find(r, first=mode == COMPAT)[0]) for r, _ in q.order]
-        df = df.orderBy(*(k.desc_nulls_last() if d else k.asc_nulls_first() for k, (_, d) in zip(keys, q.order, strict=True)))
-    if q.limit is not None:
-        df = df.limit(q.limit)
-    out: list[Column] = []
-    for x in q.items:
-        out += [F.col(n).alias(c) for _, c, n, _ in scope.columns] if x.what == "*" else [F.col(scope.find(x.what)[0]).alias(x.label())]
-    return df.select(*out)
+        by = [scope.find(r, first=mode == COMPAT)[0] for r, _ in q.order]
+        if q.group and set(by) - set(keys) or q.distinct and set(by) - shown:
+            raise unsupported("ORDER BY a column that is not in the result")
+        df = df.orderBy(*(F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_first() for k, (_, d) in zip(by, q.order, strict=True)))
+    return _cut(df, q).select(*(F.col(n).alias(c) for n, c in out))
+
+
+def _cut(df: DataFrame, q: Select) -> DataFrame:
+    df = df if q.offset is None else df.offset(q.offset)
+    return df if q.limit is None else df.limit(q.limit)

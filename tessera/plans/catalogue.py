@@ -110,6 +110,11 @@ _add("order_multi", "SELECT s_nationkey, s_suppkey FROM supplier ORDER BY s_nati
 _add("order_nonprojected", "SELECT s_name FROM supplier ORDER BY s_acctbal, s_suppkey")
 _add("limit_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _add("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0")
+# what only standard mode has
+_add("group_by", "SELECT o_custkey, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey", "SELECT o_custkey, COUNT(*) AS n, round(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey", rounded=("total",))
+_add("group_by_join", "SELECT n_name, COUNT(DISTINCT c_mktsegment) AS segments FROM customer, nation WHERE c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_name")
+_add("distinct", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")
+_add("offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 # order-processing shapes
 _add("customer_by_name", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING' ORDER BY c_name")
 _add("oldest_order", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey ASC LIMIT 1")

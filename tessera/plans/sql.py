@@ -245,8 +245,9 @@ class Parser:
         return out
 
     def select(self) -> Select:
-        if self.peek("distinct", "all"):
-            raise unsupported("SELECT DISTINCT")
+        if self.peek("all"):
+            raise unsupported("SELECT ALL")
+        distinct = self.take("distinct")
         items = [self.item()]
         while self.take(","):
             items.append(self.item())
@@ -255,6 +256,12 @@ class Parser:
         while self.take(","):
             tables.append(self.table())
         where = self.where()
+        group: list[Ref] = []
+        if self.take("group"):
+            self.need("by")
+            group.append(self.ref())
+            while self.take(","):
+                group.append(self.ref())
         order: list[tuple[Ref, bool]] = []
         if self.take("order"):
             self.need("by")
@@ -266,17 +273,19 @@ class Parser:
                 order.append((ref, down))
                 if not self.take(","):
                     break
-        limit = None
-        if self.take("limit"):
-            lit = self.literal()
-            if lit.kind != "int" or int(lit.text) < 0:
-                raise unsupported("LIMIT needs a whole number")
-            limit = int(lit.text)
+        limit = self._whole() if self.take("limit") else None
+        offset = self._whole() if self.take("offset") else None
         if self.take("for"):
             self.need("update")
         if len(set(tables)) < len(tables):
             raise unsupported("a table is named twice in FROM")
-        return Select(tuple(tables), tuple(items), where, tuple(order), limit)
+        return Select(tuple(tables), tuple(items), where, tuple(order), limit, bool(distinct), tuple(group), offset)
+
+    def _whole(self) -> int:
+        lit = self.literal()
+        if lit.kind != "int" or int(lit.text) < 0:
+            raise unsupported("LIMIT and OFFSET need a whole number")
+        return int(lit.text)
 
     def insert(self) -> Insert:
         self.need("into")

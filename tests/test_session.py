@@ -104,7 +104,7 @@ def test_literals(db):
             db.execute(f"INSERT INTO t VALUES ({bad})")
 
 
-@pytest.mark.parametrize("sql", ["SELECT a FROM t WHERE a = 1 OR b = 2", "SELECT a FROM t WHERE a LIKE 'x'", "SELECT AVG(a) FROM t", "SELECT a, COUNT(*) FROM t", "SELECT DISTINCT a FROM t", "SELECT a FROM t GROUP BY a", "SELECT SUM(DISTINCT a) FROM t", "SELECT a FROM t WHERE a IN (1, 2)", "SELECT a FROM t OFFSET 2", "SELECT a FROM t LIMIT -1", "ALTER TABLE t ADD b int", "CREATE TABLE u (a bigint)", "SELECT a FROM t JOIN u ON a = b", "SELECT COUNT(*) FROM t ORDER BY a", "UPDATE t SET a = b + 1", "SELECT 1"])
+@pytest.mark.parametrize("sql", ["SELECT a FROM t WHERE a = 1 OR b = 2", "SELECT a FROM t WHERE a LIKE 'x'", "SELECT AVG(a) FROM t", "SELECT a, COUNT(*) FROM t", "SELECT SUM(DISTINCT a) FROM t", "SELECT a FROM t WHERE a IN (1, 2)", "SELECT a FROM t LIMIT -1", "ALTER TABLE t ADD b int", "CREATE TABLE u (a bigint)", "SELECT a FROM t JOIN u ON a = b", "SELECT COUNT(*) FROM t ORDER BY a", "UPDATE t SET a = b + 1", "SELECT 1"])
 def test_rejected(db, sql):
     db.execute("CREATE TABLE t (a int, b int)")
     with pytest.raises(SqlError) as e:
@@ -112,6 +112,30 @@ def test_rejected(db, sql):
     assert e.value.sqlstate == "0A000"
 
 
+def test_distinct_groups_and_offset(db):
+    """Compat mode does not have them; standard mode does."""
+    db.execute("CREATE TABLE t (a int, b int, v varchar(9))")
+    db.execute("INSERT INTO t VALUES (1, 10, 'x'), (1, 20, 'y'), (2, 30, 'x'), (NULL, 40, 'x'), (2, 30, 'x')")
+    known = {
+        "SELECT DISTINCT a FROM t ORDER BY a": [[None], [1], [2]],
+        "SELECT DISTINCT a, b AS c FROM t ORDER BY b DESC LIMIT 2 OFFSET 1": [[2, 30], [1, 20]],
+        "SELECT a, COUNT(*) AS n, SUM(b) FROM t GROUP BY a ORDER BY a DESC": [[2, 2, 60], [1, 2, 30], [None, 1, 40]],
+        "SELECT SUM(b) AS total, v FROM t WHERE b > 10 GROUP BY v, a ORDER BY a, v": [[40, "x"], [20, "y"], [60, "x"]],
+        "SELECT a FROM t GROUP BY a ORDER BY a LIMIT 1 OFFSET 1": [[1]],
+        "SELECT b FROM t ORDER BY b OFFSET 3": [[30], [40]],
+    }
+    for sql, want in known.items():
+        if db.mode == "compat":
+            with pytest.raises(SqlError) as e:
+                db.execute(sql)
+            assert e.value.sqlstate == "0A000"
+        else:
+            assert rows(db, sql) == want
+    for sql in ("SELECT a, b FROM t GROUP BY a", "SELECT * FROM t GROUP BY a", "SELECT DISTINCT a FROM t ORDER BY b", "SELECT a FROM t GROUP BY a ORDER BY b", "SELECT DISTINCT COUNT(*) FROM t", "SELECT a FROM t GROUP BY a HAVING a > 1"):
+        with pytest.raises(SqlError):
+            db.execute(sql)
+
+
 def test_ddl(db):
     db.execute("DROP TABLE IF EXISTS nothing CASCADE")
     db.execute("CREATE TABLE t (a int, b varchar(2))")
