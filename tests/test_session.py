@@ -173,8 +173,24 @@ def test_order_processing(spark, tmp_path):
     db = Session(spark, f"file://{tmp_path}/o", "compat")
     tpcc.create(db)
     tpcc.sample(db)
-    for sql, params in tpcc.TRANSACTIONS:
-        db.execute(sql, params)
+    answers = [db.execute(sql, params) for sql, params in tpcc.TRANSACTIONS]
+    assert len(answers) == 22 and all(r.df is not None or r.update_count == 1 for r in answers)
+    # each query's answer as of its turn: later statements never change a snapshot that was read
+    assert [r.rows() for r in answers if r.df is not None] == [
+        [["w", 0.1]], [["Ann", 1]], [[1]], [[1, None, "2026-01-02 00:00:00"]], [[1, 47.5]], [[2, 0.05]],
+        [[9.5, "thing", "data"]], [[20, "data", "dist1", "dist10"]], [[1]], [[47.5]],
+    ]
+    known = {
+        "SELECT w_ytd FROM warehouse": [[300010.5]],
+        "SELECT d_ytd, d_next_o_id FROM district": [[30010.5, 3]],
+        "SELECT c_balance, c_ytd_payment, c_payment_cnt, c_delivery_cnt, c_middle FROM customer": [[27.0, 20.5, 2, 1, "OE"]],
+        "SELECT h_amount, h_data FROM history": [[10.5, "it's"]],
+        "SELECT o_id, o_carrier_id FROM oorder ORDER BY o_id": [[1, 3], [2, None]],
+        "SELECT no_o_id FROM new_order": [[2]],
+        "SELECT s_quantity, s_ytd, s_order_cnt, s_remote_cnt FROM stock": [[15, 5.0, 1, 0]],
+        "SELECT ol_delivery_d, ol_dist_info FROM order_line": [["2026-01-05 00:00:00", "dist1"]],
+    }
+    assert {sql: rows(db, sql) for sql in known} == known and len(db.catalog.get("customer").columns) == 21
     assert rows(db, tpcc.STOCK_LEVEL, [1, 1, 1, 21, 1, 100]) == [[1]]
     assert db.timings()
 
