@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, materialise, mix, slices, table
+from tessera.llm.common import Words, materialise, mix, slices, spread, table
 
 MASKS = ("1111", "11011", "110101", "1010011", "1001101", "11001001")
 #: Besides, for items of five words, with the second or the fourth replaced.
@@ -218,4 +218,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of the whole ``documents`` table with all of ``benchmark``, 80 % equal words."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))

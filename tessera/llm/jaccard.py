@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, release, slices, steps, sums, table, unpack, unused
+from tessera.llm.common import Words, bounded_broadcast, groups, materialise, mix, pack, partitions, release, slices, spread, steps, sums, table, unpack, unused
 from tessera.llm.components import components
 
 #: Parts beyond the D + 1 that must be scanned: one in so many of them, and this many more.
@@ -484,7 +484,7 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, broadcast_row
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's join over the whole ``documents`` table: 3-word shingles, 90 %."""
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=3, percent=90)
 
 
 ORACLE = r"""

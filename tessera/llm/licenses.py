@@ -18,7 +18,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, materialise, partitions, table
+from tessera.llm.common import let, materialise, partitions, spread, table
 
 TERM = "[a-z0-9]+"
 _BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -178,5 +178,5 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all ``documents``, laid out as files by source, language and id."""
-    found = license_scan(document_paths(table(spark, sf_dir, "documents")))
+    found = license_scan(document_paths(spread(table(spark, sf_dir, "documents"))))
     return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("bigint")).select("doc_id", "path", "license", "similarity", "how", "found_in")

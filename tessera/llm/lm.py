@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, crc, materialise, mix, pack, partitions, release, slices, steps, sums, table, unpack
+from tessera.llm.common import Words, crc, materialise, mix, pack, partitions, release, slices, spread, steps, sums, table, unpack
 
 GROUP_TOKENS = 1_000_000
 #: Context-frequency buckets: 0 for none, else 1 + floor(log2(count)).
@@ -262,4 +262,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's scores of the whole ``documents`` table."""
-    return lm_scores(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dealt = spread(docs)
+    return lm_scores(docs if dealt is docs else materialise(dealt))  # a shuffle may read in another order each time

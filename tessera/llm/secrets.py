@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table
+from tessera.llm.common import let, spread, table
 
 #: Fixed patterns and least lengths (of group 2 for assign).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -148,5 +148,5 @@ def scan(docs: DataFrame, table_: list[float], *, id_col: str = "doc_id", text_c
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's scan of every whole text of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scan(docs, train(samples(docs))).drop("found")

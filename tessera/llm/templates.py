@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Words, bounded_broadcast, materialise, mix, slices, table, unused
+from tessera.llm.common import Words, bounded_broadcast, materialise, mix, slices, spread, table, unused
 
 FIELD = "<*>"
 DEPTH, MAX_CHILDREN, KEEP, FIELDS_A_WORD = 3, 8, 0.6, 3
@@ -241,7 +241,7 @@ def without_recurring_lines(docs: DataFrame, *, broadcast: int = BROADCAST, **op
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of all ``documents`` that keep a word, recurring lines left out of text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).cast("bigint").alias("n_lines"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", (F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).cast("bigint").alias("n_lines"))
     out = without_recurring_lines(docs)
     left = F.when(F.col("text") == "", F.when(F.col("n_lines") > 1, F.lit(0)).otherwise(F.col("n_lines"))).otherwise(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))
     return out.select("doc_id", "text", "n_lines", (F.col("n_lines") - left).cast("bigint").alias("n_dropped"))

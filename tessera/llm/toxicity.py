@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, fold, mix, release, slices, table, word_hashes
+from tessera.llm.common import Words, fold, mix, release, slices, spread, table, word_hashes
 
 #: The models learn from at most so many labelled texts of each class, those of least xxhash64(doc_id).
 SAMPLE = 1500
@@ -284,4 +284,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7)
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's scores of the whole ``documents`` table, learnt from ``labels``."""
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels"))
