@@ -165,7 +165,7 @@ _OUT = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, item_
 
 def _find(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 4 << 20):
             w, ids = Words(b.column(1)), b.column(0).to_pylist()
             rows = [(ids[t], item, i, j, at, n, n / (j - i)) for t, item, i, j, at, n in _overlaps(w.hashes(), w.starts, shared.value, percent)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -203,7 +203,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     def step(shared) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, at):
+            for b in slices(batches, at, 4 << 20):
                 w = Words(b.column(at))
                 keep = np.ones(b.num_rows, bool)
                 for found in _overlaps(w.hashes(), w.starts, shared.value, percent):

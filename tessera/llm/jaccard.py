@@ -256,6 +256,9 @@ def _stars(percent: int, buckets: int):
                     out.append((int(j), pack(steps(known), n[x][first], of.reshape(-1), steps(heads), on.reshape(-1), length[x], tag[x], low[x])))
                 none = pa.nulls(len(out), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], schema=_STARS)
+        held.clear()
+        cols = sig = key = n = tag = head = length = low = bucket = o = again = out = None  # the last block
+        release()
 
     return run
 
@@ -385,6 +388,7 @@ def _verify(percent: int):
                     hub = max(members, key=lambda i: degree[i])
                     out.append((keys[hub], keys[hub], degree[hub]))
             yield pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
+        release()
 
     return run
 

@@ -86,6 +86,14 @@ def test_query_runs_over_all_rows(spark, name):
         assert sorted(map(repr, (near(r) for r in df.select(order).collect()))) == sorted(map(repr, map(near, want)))
 
 
+def test_small_tables_are_dealt_over_all_cores(spark):
+    df = common.table(spark, SMALL, "documents")
+    dealt = common.spread(df)
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt.rdd.getNumPartitions() == cores > len(df.inputFiles())
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, df.collect()))
+
+
 def test_empty_tables(spark):
     none = docs(spark, []).where("false")
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
