@@ -1,13 +1,20 @@
 """Operator 6: main text of web pages, by markup and by a suffix array over each host.
 
 Markup decides first: scripts, styles, menus, headers, footers, sidebars, adverts, forms, notices and comments are cut,
-and a page that declares its article (article, main, role=main) has its text taken from there. What a page without such
-a declaration leaves undecided is judged by its host: the host's pages, with what markup cut from all of them as
-evidence, are concatenated as token streams whose suffixes are sorted by prefix doubling to a depth of LONG tokens.
-Substrings that long which begin suffixes of several distinct pages are boilerplate; covered tokens go and the unique
-runs stay. Text in a declared article is never taken for boilerplate, however often it is quoted.
-Large hosts are cut into chunks of CHUNK pages by hash. There the distinct pages of each run of LONG tokens are counted
-over the whole host, by hashes of the runs, and a chunk only gets the result for the runs that it holds.
+and a page that declares its article (article, main, role=main) has its text taken from there. Then every page is judged
+by its host: the texts of the host's pages are concatenated as token streams whose suffixes are sorted by prefix doubling
+to a depth of LONG tokens, and substrings that long which begin suffixes of enough distinct pages are boilerplate. Covered
+tokens go and the unique runs stay. What is enough depends on what markup says:
+
+* Where a page leaves its article undeclared, MIN_PAGES distinct pages, what markup cut from all pages as evidence.
+* In a declared article, the articles of SHARE of the host's pages that declare one, both as rows and as distinct articles,
+  and of ARTICLES distinct ones: a site's furniture is on nearly all of its pages, a passage that articles quote from each
+  other or an advert repeats is not and stays. An article of which that covers more than half is a copy and stays whole.
+
+Hosts of more than CHUNK pages are judged in pieces, each with a suffix array of its own, and with the same result. What
+is on SHARE of all rows is on SHARE of the rows of one piece at least, so that the pieces' arrays name all candidates for
+furniture; these are counted over the whole host. For undeclared pages the pieces' arrays give the number of distinct
+pages of every run, added up over the host by hashes of the runs; a part only gets the result for the runs that it holds.
 """
 
 from __future__ import annotations
@@ -22,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_broadcast, materialise, mix, spread, table, word_hashes
+from tessera.llm.common import Words, bounded_broadcast, materialise, mix, release, slices, spread, table, word_hashes
 
 LONG, MIN_PAGES, CHUNK = 8, 3, 2000
-#: Hosts with undecided pages broadcast at most.
+#: What furniture in declared articles is found on: distinct articles, and of a host's pages this fraction.
+ARTICLES, SHARE = 10, (3, 4)
+#: Bytes of text in one suffix array of a host in pieces.
+PIECE = 8 << 20
+#: Hosts or runs broadcast at most.
 BROADCAST = 1_000_000
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)", re.S)  # last: a quote without its end
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -165,41 +176,66 @@ def text_of(pieces: list[str]) -> str:
     return " ".join(entities.unescape("".join(pieces)).split())
 
 
-def covered(streams: list[list[str]], long: int = LONG, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """Which tokens of each stream lie in substrings of ``long`` tokens or more that begin suffixes of at least
-    ``min_pages`` distinct streams. Equal streams are one page."""
-    distinct: dict[tuple, int] = {}
-    page = [distinct.setdefault(tuple(s), len(distinct)) for s in streams]
-    pages = list(distinct)
-    flat = [t for s in pages for t in s]
-    out = [np.zeros(len(s), bool) for s in pages]
-    n = np.array([len(s) for s in pages])
-    if len(pages) >= min_pages and n.sum():
-        owner, left = np.repeat(np.arange(len(pages)), n), np.concatenate([np.arange(k, 0, -1) for k in n])
-        rank = np.unique(word_hashes(pa.array(flat)), return_inverse=True)[1].astype(np.int64)
-        done = 1  # suffixes are ranked by their first ``done`` tokens; those that end sooner rank by their place
-        while done < long:
+class Suffixes:
+    """The suffix array of some texts to a depth of ``long`` tokens: suffixes with equal first ``long`` tokens have equal ranks."""
+
+    def __init__(self, texts: list[str], long: int):
+        self.words, self.long = Words(pa.array(texts, pa.string()), lower=False), long
+        self.starts = self.words.starts
+        n = np.diff(self.starts)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+        self.at = np.flatnonzero(self.starts[1:][self.owner] - np.arange(len(self.owner)) >= long)  # where suffixes that long begin
+        rank, done = self.words.ids.astype(np.int64), 1  # by their first ``done`` tokens; read only where a text has that many left
+        while done < long <= len(rank):
             step = min(done, long - done)
-            nxt = np.full(len(rank), -1, np.int64)
-            nxt[: len(rank) - step] = rank[step:]
-            nxt[left <= step] = -1 - np.flatnonzero(left <= step)
-            rank = np.unique(np.stack([rank, nxt]), axis=1, return_inverse=True)[1].reshape(-1).astype(np.int64)
+            rank[: len(rank) - step] = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
+            rank = np.unique(rank, return_inverse=True)[1].reshape(-1)
             done += step
-        ok = left >= long
-        order = np.lexsort((owner[ok], rank[ok]))
-        r, o = rank[ok][order], owner[ok][order]
-        first = np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])]) if len(r) else np.empty(0, bool)
-        kinds = np.bincount(r[first], minlength=rank.max() + 1)
-        starts = ok & (kinds[rank] >= min_pages)
-        edge = np.zeros(len(rank) + 1, np.int64)
-        at = np.flatnonzero(starts)
+        _, first, rank = np.unique(rank[self.at], return_index=True, return_inverse=True)
+        self.rank, self.first = rank.reshape(-1), self.at[first]  # a place for each rank
+        pairs = np.unique(self.rank * max(len(texts), 1) + self.owner[self.at])  # the texts of each rank, once
+        self.held, self.holder = np.divmod(pairs, max(len(texts), 1))
+
+    def count(self, weights: np.ndarray) -> np.ndarray:
+        """For each rank, the weights of its texts."""
+        return np.bincount(self.held, weights[self.holder], len(self.first)).astype(np.int64)
+
+    def covered(self, ranks: np.ndarray) -> list[np.ndarray]:
+        """Which tokens of each text lie in a substring of one of the ``ranks`` (a mask)."""
+        edge = np.zeros(len(self.owner) + 1, np.int32)
+        at = self.at[ranks[self.rank]]
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + long, -1)
-        inside = np.cumsum(edge[:-1]) > 0
-        out = np.split(inside, np.cumsum(n)[:-1])
+        np.add.at(edge, at + self.long, -1)
+        return np.split(np.cumsum(edge[:-1]) > 0, self.starts[1:-1])
+
+    def hashes(self, ranks: np.ndarray) -> np.ndarray:
+        """The hashes of the runs of the ``ranks`` (a mask), as ``run_hashes`` gives them."""
+        h = self.words.hashes()
+        return _folded([h[self.first[ranks] + i] for i in range(self.long)])
+
+
+def covered(streams: list[list[str]], long: int = LONG, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
+    """Which tokens of each stream lie in substrings of ``long`` tokens or more that begin suffixes of at least
+    ``min_pages`` distinct streams. Equal streams are one page."""
+    distinct: dict[str, int] = {}
+    page = [distinct.setdefault(" ".join(s), len(distinct)) for s in streams]
+    array = Suffixes(list(distinct), long)
+    out = array.covered(array.count(np.ones(len(distinct))) >= min_pages)
     return [out[p] for p in page]
 
 
+def furniture(rows, distinct, all_rows, all_distinct, articles: int):
+    """Whether so many of the rows and distinct articles of a host that has so many in all make a run its furniture."""
+    part, of = SHARE
+    return (of * rows >= part * all_rows) & (of * distinct >= part * all_distinct) & (distinct >= articles)
+
+
+def without(text: str, gone: np.ndarray, declared: bool) -> str:
+    """The text without the tokens that are ``gone``; a declared article of which most would go stays."""
+    n = int(gone.sum())
+    return text if not n or declared and 2 * n > len(gone) else " ".join(np.array(text.split(), object)[~gone])
+
+
 _ROWS = "page_id bigint, url string, host string, key bigint, body string, evidence string, settled boolean"
 
 
@@ -214,27 +250,75 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), key, pa.array(out[0]), pa.array(out[1]), pa.array(out[2])], names=[x.split()[0] for x in _ROWS.split(", ")])
 
 
-def _judge(long: int, min_pages: int):
+def _judge(long: int, min_pages: int, articles: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
-        open_ = rows[~rows["settled"]]
-        bodies = [t.split() for t in open_["body"]]
-        seen = covered(bodies + [t.split() for t in rows["evidence"]], long, min_pages)
-        texts = [" ".join(np.array(t, object)[~c]) for t, c in zip(bodies, seen, strict=False)]
-        return pd.DataFrame({"page_id": open_["page_id"], "url": open_["url"], "text": texts})
+        settled = rows["settled"].to_numpy(bool)
+        at: dict[tuple[bool, str], int] = {}
+        page = [at.setdefault((d, t), len(at)) for d, t in zip(settled.tolist(), rows["body"], strict=True)]
+        copies = np.bincount(page, minlength=len(at))
+        if not settled.all():
+            for t in rows["evidence"]:
+                at.setdefault((False, t), len(at))
+        article = np.array([d and t != "" for d, t in at], bool)
+        copies = np.where(article, np.pad(copies, (0, len(at) - len(copies))), 0)
+        array = Suffixes([t for _, t in at], long)
+        common = array.count(np.array([not d for d, _ in at], float)) >= min_pages
+        often = furniture(array.count(copies), array.count(article.astype(float)), copies.sum(), article.sum(), articles)
+        loose, declared = array.covered(common), array.covered(often)
+        texts = [without(t, (declared if d else loose)[p], d) for p, d, t in zip(page, settled.tolist(), rows["body"], strict=True)]
+        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts})
 
     return run
 
 
+def _folded(tokens: list[np.ndarray]) -> np.ndarray:
+    """Hashes of runs from those of their first, second, ... tokens."""
+    x = np.zeros(len(tokens[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for h in tokens:
+            x = mix(x * np.uint64(0x100000001B3) ^ h)
+    return x.view(np.int64)
+
+
 def run_hashes(text: str, long: int) -> np.ndarray:
     """A hash for each place of the text where ``long`` tokens begin."""
     h = word_hashes(pa.array(text.split(), pa.string()))
-    n = len(h) - long + 1
-    x = np.zeros(max(n, 0), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(long if n > 0 else 0):
-            x = mix(x * np.uint64(0x100000001B3) ^ h[i : i + n])
-    return x.view(np.int64)
+    n = max(len(h) - long + 1, 0)
+    return _folded([h[i : i + n] for i in range(long)])
+
+
+def _arrays(long: int, chunk: int, of):
+    """The suffix arrays of each host's texts in pieces, from (h, ..., text): h with what ``of`` gives for an array and the
+    number of rows with each of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy()
+            order = np.argsort(h, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(h[order])) + 1) if len(h) else ():
+                mine = b.column(b.num_columns - 1).take(pa.array(rows))
+                n = max(-(-len(rows) // chunk), -(-mine.nbytes // PIECE))  # even pieces: small ones name more than they need
+                for at in np.array_split(np.arange(len(rows)), min(n, len(rows))):
+                    texts, copies = np.unique(np.array(mine.take(pa.array(at)).to_pylist(), object), return_counts=True)
+                    got = of(Suffixes(texts.tolist(), long), copies)
+                    first = next(iter(got.values()))
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(np.full(len(first), h[rows[0]])), **{k: pa.array(v) for k, v in got.items()}})
+        release()
+
+    return run
+
+
+def _often(array: Suffixes, copies: np.ndarray) -> dict[str, np.ndarray]:
+    """The runs on SHARE of the rows."""
+    part, of = SHARE
+    return {"run": array.hashes(of * array.count(copies) >= part * copies.sum())}
+
+
+def _counted(array: Suffixes, copies: np.ndarray) -> dict[str, np.ndarray]:
+    """Every run with the number of its rows."""
+    n = array.count(copies)
+    return {"run": array.hashes(n > 0), "n": n}
 
 
 def _runs(long: int, keys: int):
@@ -251,35 +335,67 @@ def _runs(long: int, keys: int):
     return run
 
 
+def _held(text: str, runs: np.ndarray, long: int) -> np.ndarray:
+    """Which tokens of the text lie in one of the runs."""
+    edge = np.zeros(len(text.split()) + 1, np.int64)
+    at = np.flatnonzero(np.isin(run_hashes(text, long), runs))
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + long, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _uncovered(long: int):
     def run(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
-        runs, texts = np.unique(common["run"].to_numpy(np.int64)), []
-        for text in rows["body"]:
-            tokens = np.array(text.split(), object)
-            edge = np.zeros(len(tokens) + 1, np.int64)
-            at = np.flatnonzero(np.isin(run_hashes(text, long), runs))
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + long, -1)
-            texts.append(" ".join(tokens[np.cumsum(edge[:-1]) == 0]))
+        runs = np.unique(common["run"].to_numpy(np.int64))
+        texts = [without(t, _held(t, runs, long), False) for t in rows["body"]]
         return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts})
 
     return run
 
 
-def _judge_large(part: DataFrame, long: int, min_pages: int) -> DataFrame:
-    """What ``_judge`` gives, for hosts in several parts."""
+def _judge_large(part: DataFrame, long: int, min_pages: int, chunk: int) -> DataFrame:
+    """What ``_judge`` gives for undeclared pages, for hosts in several parts."""
     undecided = part.where(~F.col("settled"))
     texts = undecided.select("host", F.col("body").alias("t")).unionAll(part.select("host", F.col("evidence").alias("t"))).where("t <> ''")
     distinct = texts.groupBy("host", F.xxhash64("t").alias("a"), F.hash("t").alias("b")).agg(F.min("t").alias("t"))  # equal streams are one page
-    runs = distinct.select(F.xxhash64("host").alias("h"), "t").mapInArrow(_runs(long, 1), "h bigint, run bigint")
-    common = runs.groupBy("h", "run").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("h", "run")
-    held = undecided.select(F.xxhash64("host").alias("h"), "part", "body").mapInArrow(_runs(long, 2), "h bigint, part bigint, run bigint").distinct()
-    found = held.join(common, ["h", "run"]).groupBy("h", "part")  # a run once a part, however many of its pages hold it
+    runs = distinct.select(F.xxhash64("host").alias("h"), "t").mapInArrow(_arrays(long, chunk, _counted), "h bigint, run bigint, n bigint")
+    common = materialise(runs.groupBy("h", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages).select("h", "run"))
+    held = undecided.select(F.xxhash64("host").alias("h"), "part", "body").mapInArrow(_runs(long, 2), "h bigint, part bigint, run bigint")
+    found = held.join(bounded_broadcast(common, BROADCAST), ["h", "run"]).distinct().groupBy("h", "part")  # a run once a part, however many of its pages hold it
     rows = undecided.select(F.xxhash64("host").alias("h"), "part", "page_id", "url", "body").groupBy("h", "part")
     return rows.cogroup(found).applyInPandas(_uncovered(long), "page_id bigint, url string, text string")
 
 
-def main_text(pages: DataFrame, *, long: int = LONG, min_pages: int = MIN_PAGES, chunk: int = CHUNK) -> DataFrame:
+def _unfurnished(long: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2):
+            texts = [without(t, _held(t, np.array(r, np.int64), long), True) for t, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+def _articles_large(read: DataFrame, long: int, articles: int, chunk: int) -> DataFrame:
+    """What ``_judge`` gives for declared articles, for hosts in pieces as they are read."""
+    settled = read.where("settled").select("page_id", "url", F.col("body").alias("text"), F.xxhash64("host").alias("h"))
+    whole = settled.select("page_id", "url", "text")
+    texts = settled.where("text <> ''").select("h", F.xxhash64("text").alias("b"), "text")
+    often = materialise(texts.mapInArrow(_arrays(long, chunk, _often), "h bigint, run bigint").distinct())
+    if not often.limit(1).count():
+        return whole
+    every = texts.groupBy("h").agg(F.count("*").alias("all_rows"), F.countDistinct("b").alias("all_distinct"))
+    runs = texts.mapInArrow(_runs(long, 2), "h bigint, b bigint, run bigint").join(bounded_broadcast(often, BROADCAST), ["h", "run"])
+    runs = runs.groupBy("h", "run").agg(F.count("*").alias("rows"), F.countDistinct("b").alias("distinct")).join(every, "h")
+    found = runs.where(furniture(F.col("rows"), F.col("distinct"), F.col("all_rows"), F.col("all_distinct"), articles))
+    found = materialise(found.groupBy("h").agg(F.collect_list("run").alias("runs")))  # on SHARE of the pages: not many
+    if not found.limit(1).count():
+        return whole
+    settled = settled.join(bounded_broadcast(found, BROADCAST), "h", "left")
+    changed = settled.where("runs is not null").select("page_id", "url", "text", "runs").mapInArrow(_unfurnished(long), "page_id bigint, url string, text string")
+    return settled.where("runs is null").select("page_id", "url", "text").union(changed)
+
+
+def main_text(pages: DataFrame, *, long: int = LONG, min_pages: int = MIN_PAGES, chunk: int = CHUNK, articles: int = ARTICLES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
     Null html: empty text. Null urls share the host "". Repeated rows give repeated rows and count as one page. Broken
@@ -289,16 +405,22 @@ def main_text(pages: DataFrame, *, long: int = LONG, min_pages: int = MIN_PAGES,
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     rows = rows.select("page_id", "url", "html", "host", F.xxhash64("page_id", "url", "html").alias("key"))
-    read = materialise(rows.mapInArrow(_parsed, _ROWS))
-    settled = read.where("settled").select("page_id", "url", F.col("body").alias("text"))
-    # only hosts with undecided pages are gathered, in chunks of bounded size
-    hosts = materialise(read.groupBy("host").agg(F.count("*").alias("n"), F.max(~F.col("settled")).alias("open")).where("open").select(F.col("host").alias("h"), F.ceil(F.col("n") / chunk).cast("bigint").alias("chunks")))
-    read = read.withColumn("body", F.when(~F.col("settled"), F.col("body")).otherwise(""))
-    part = read.join(bounded_broadcast(hosts, BROADCAST), F.col("host") == F.col("h")).select("page_id", "url", "host", "key", "body", "evidence", "settled", "chunks", F.pmod("key", "chunks").alias("part"))
-    judged = part.where("chunks = 1").drop("chunks").groupBy("host", "part").applyInPandas(_judge(long, min_pages), "page_id bigint, url string, text string")
-    if hosts.where("chunks > 1").limit(1).count():
-        judged = judged.union(_judge_large(part.where("chunks > 1"), long, min_pages))
-    return settled.union(judged).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    large = materialise(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(F.col("host").alias("h"), F.ceil(F.col("n") / chunk).cast("bigint").alias("chunks")))
+    judge = _judge(long, min_pages, articles)
+    if not large.limit(1).count():
+        judged = rows.mapInArrow(_parsed, _ROWS).groupBy("host").applyInPandas(judge, "page_id bigint, url string, text string")
+    else:
+        big = bounded_broadcast(large, BROADCAST)
+        small = rows.join(big, F.col("host") == F.col("h"), "left_anti").mapInArrow(_parsed, _ROWS)
+        read = materialise(rows.join(big, F.col("host") == F.col("h"), "left_semi").mapInArrow(_parsed, _ROWS))
+        judged = small.groupBy("host").applyInPandas(judge, "page_id bigint, url string, text string").union(_articles_large(read, long, articles, chunk))
+        # only hosts with undecided pages are gathered
+        undecided = materialise(read.where("not settled").select("host").distinct().join(large, F.col("host") == F.col("h")).select("h", "chunks"))
+        if undecided.limit(1).count():
+            read = read.withColumn("body", F.when(~F.col("settled"), F.col("body")).otherwise(""))
+            part = read.join(bounded_broadcast(undecided, BROADCAST), F.col("host") == F.col("h")).select("page_id", "url", "host", "body", "evidence", "settled", F.pmod("key", "chunks").alias("part"))
+            judged = judged.union(_judge_large(part, long, min_pages, chunk))
+    return judged.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -576,6 +576,42 @@ def test_html_hosts(spark):
     assert got[10] == boiler and got[11] == boiler and got[12] == ""
 
 
+@pytest.mark.parametrize("chunk", [2000, 7])
+def test_html_declared_articles_are_judged_by_the_host(spark, chunk):
+    """What nearly all articles of a host hold goes from them; quotations, adverts' words, copies and small hosts stay."""
+    rnd = random.Random(8)
+    site, quote, advert, most = (prose(rnd, 14) for _ in range(4))
+    bodies = [prose(rnd, 40) for _ in range(40)]
+
+    def page(i, host, middle, own):
+        return (i, f"http://{host}/{i}", f"<body><div class=ad>{advert}</div><article><p>{own}</p>{middle}</article><footer>{site} {i}</footer></body>")
+
+    rows = [page(i, "h.example", f"<p>{site}</p>" * (i % 8 > 0) + f"<p>{quote}</p>" * (i % 2) + f"<p>{advert}</p>" * (i % 3 > 0), b) for i, b in enumerate(bodies)]
+    want = {i: " ".join([b] + [quote] * (i % 2) + [advert] * (i % 3 > 0)) for i, b in enumerate(bodies)}
+    rows += [page(100 + i, "small.example", f"<p>{site}</p>", b) for i, b in enumerate(bodies[:9])]
+    rows += [page(200 + i, "copies.example", f"<p>{most}</p>", bodies[0] + f" {i}") for i in range(12)]
+    rows += [page(300, "again.example", f"<p>{site}</p>", bodies[1])] * 30 + [page(301 + i, "again.example", "", b) for i, b in enumerate(bodies[2:5])]
+    rows += [(400, "http://h.example/u", f"<p>{bodies[0]}</p><p>{site}</p>"), (401, "http://h.example/v", f"<main>{site}</main>"), (402, "http://h.example/w", "<main></main>")]
+    want |= {100 + i: f"{b} {site}" for i, b in enumerate(bodies[:9])} | {200 + i: f"{bodies[0]} {i} {most}" for i in range(12)}
+    want |= {300: f"{bodies[1]} {site}", 400: bodies[0], 401: site, 402: ""} | {301 + i: b for i, b in enumerate(bodies[2:5])}
+    got = html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), chunk=chunk).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_suffix_array_counts_and_hashes():
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.randrange(30))) for _ in range(12)] + ["", "a"]
+    array, weights = html.Suffixes(texts, 3), np.arange(1, 15)
+    want: dict = {}
+    for t, w in zip(texts, weights.tolist(), strict=True):
+        for run in set(html.run_hashes(t, 3).tolist()):
+            want[run] = want.get(run, 0) + w
+    counts = array.count(weights)
+    for least in (1, 20, 60, 1000):
+        assert sorted(array.hashes(counts >= least).tolist()) == sorted(r for r, n in want.items() if n >= least)
+
+
 # --- 7 ---
 
 
